@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, quality_rules
+from larkspur.llm import bpe, language_id, pii, quality_rules
 
 #: The vocabularies of public tokenizers lie here on the driver's machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -14,6 +14,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir)).drop("clean_text")
 
@@ -22,6 +30,6 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op8_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_pii, op6_quality_rules, op8_bpe_encoding)}
 
 ORACLES: dict[str, str] = {}
