@@ -85,9 +85,9 @@ def measured(docs: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE, least_
     })
     df = df.withColumn(own["hashes"], F.when(c["n_words"] >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(c["hashes"]) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(c["hashes"], i, WINDOW)))))
     # only a text with a window that comes back has its windows sorted; equal ones then stand side by side
-    df = df.withColumn(own["sorted"], F.when(F.size(F.array_distinct(c["hashes"])) < F.size(c["hashes"]), F.array_sort(F.transform(c["hashes"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn(own["sorted"], F.when(F.size(F.array_distinct(c["hashes"])) < F.size(c["hashes"]), F.sort_array(F.transform(c["hashes"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, j: F.get(c["sorted"], j)["h"] == x["h"]
-    df = df.withColumn(own["repeats"], F.array_sort(F.array_compact(F.transform(c["sorted"], lambda x, j: F.when(F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)), x["i"])))))
+    df = df.withColumn(own["repeats"], F.sort_array(F.array_compact(F.transform(c["sorted"], lambda x, j: F.when(F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)), x["i"])))))
     covered = F.aggregate(F.transform(c["repeats"], lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(c["repeats"], j + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
     df = df.withColumn(own["n_repeat_words"], F.coalesce(covered, F.lit(0)).cast("long"))
     df = df.withColumn(own["base_failed"], (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"]))
