@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class ForcedBoundaryBpe:
     """Encoder for a vocabulary of whole words: lower case, white space dropped, word ends marked by a suffix."""
 
-    def __init__(self, spec: str, most_kept: int = 400_000):
+    def __init__(self, spec: str, most_kept: int = 120_000):
         import regex
 
         d = json.loads(spec)
