@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, pii, quality_rules, suffix_dedup, token_counts
+from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, suffix_dedup, token_counts
 
 #: The vocabularies of public tokenizers lie here on the driver's machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
@@ -43,13 +47,13 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedupe(documents(spark, sf_dir)).drop("kept")
+    return suffix_dedup.dedupe(documents(spark, sf_dir), with_kept=False)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op4_secret_scan, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints)}
 
 ORACLES: dict[str, str] = {}
