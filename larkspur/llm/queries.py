@@ -56,4 +56,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op4_secret_scan, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints)}
 
-ORACLES: dict[str, str] = {}
+_SPLIT = r"regexp_split_to_array({}, '[\x20\x09-\x0D]+')"
+_WORDS = "list_filter(" + _SPLIT + ", lambda x: x <> '')"
+_STALE = " OR ".join(f"contains(lower(l), '{b}')" for b in quality_rules.BOILERPLATE)
+
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS t(i)),
+r AS (SELECT doc_id, i FROM i QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS l FROM w),
+n AS (SELECT doc_id, l, len({_WORDS.format('l')}) AS n FROM l),
+p AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(CASE WHEN NOT (3 * len(regexp_extract_all(l, '[#*$%&|<>]')) > n OR 4 * len(regexp_extract_all(l, '[|«»‹›→]')) > n
+  OR 3 * (length(l) - length(replace(l, '!!', ''))) / 2 > n OR (n >= 4 AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}'))
+  OR (n < 8 AND NOT regexp_matches(l, '[.!?…:;。！？]["''”’»)\]]*[\x20\x09-\x0D]*$')) OR {_STALE}) THEN length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) END), 0) AS passed FROM n GROUP BY doc_id),
+s AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(passed, 0) AS passed FROM w LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * passed >= 50 * word_chars AS kept FROM s""",
+}
