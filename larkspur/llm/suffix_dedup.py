@@ -72,11 +72,9 @@ def anchors(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     windows = len(flat) - LENGTH + 1
     least = np.minimum(least[:windows], least[width - size : width - size + windows])
     anchor = (least & low).astype(np.int64)
-    ends = np.zeros(len(flat) + 1, np.int64)
     inside = np.ones(windows, bool)  # windows that do not cross from one text into the next
     for b in at[1:-1].tolist():
         inside[max(0, b - LENGTH + 1) : b] = False
-    del ends
     starts = np.flatnonzero(inside)
     if not len(starts):
         return none, none, none, np.zeros(0, np.uint64)
@@ -125,12 +123,25 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 
 
 def bitmap(runs: DataFrame, many: int) -> np.ndarray:
-    """Bits for the runs, 32 for each of them and MOST_BITS at most: a table of bounded size."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, math.ceil(math.log2(32 * many + 1))))
-    bit = F.pmod("run", F.lit(bits))
-    got = runs.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+    """Bits for the runs, 32 for each of them and MOST_BITS at most: a table of bounded size, gathered in blocks of 8 KB."""
+    import pyarrow as pa
+
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, math.ceil(math.log2(32 * many + 1))))
+
+    def fold(batches):
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().astype(np.uint64) & np.uint64(bits - 1)
+            for block in np.unique(at >> np.uint64(16)).tolist():
+                own = (at[at >> np.uint64(16) == np.uint64(block)] & np.uint64(0xFFFF)).astype(np.int64)
+                blocks.setdefault(block, np.zeros(1 << 16, bool))[own] = True
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in blocks.values()], pa.binary())], names=["block", "bits"])
+
+    dealt = runs.select("run", F.shiftrightunsigned(F.col("run").bitwiseAND(F.lit(bits - 1)), 16).alias("block")).repartition("block").select("run")
     table = np.zeros(bits >> 6, np.uint64)
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint64)
+    for r in dealt.mapInArrow(fold, "block long, bits binary").toLocalIterator():  # at most MOST_BITS / 8 bytes, a part at a time
+        table[r["block"] << 10 : r["block"] + 1 << 10] |= np.frombuffer(r["bits"], np.uint64)
     return table
 
 
@@ -307,8 +318,8 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay) and kept (those bytes)."""
+def dedupe(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay) and, unless with_kept is false, kept (those bytes)."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
@@ -316,7 +327,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64("text").alias("tie"), "text", "doc_id")
     ranges = removed(rows.select("ord", "tie", "text"))
     joined = rows.join(ranges, ["ord", "tie"], "left").select("doc_id", "text", "ranges")
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.BinaryType())] * with_kept])
 
     def cut(batches):
         for batch in in_parts(batches):
@@ -328,7 +339,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
                     at = e
                 kept = b"".join([*kept, text[at:]])
                 out.append((len(text), len(text) - len(kept), len(spans), sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
