@@ -105,6 +105,10 @@ def quality(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their failing lines removed and n_chars (if there is one) counted again; the columns of docs."""
     df, own = measured(docs)
+    # the filter reads a number of the row that is never negative: Spark then evaluates the rules once, below the filter,
+    # where it would otherwise put the whole rules in place of each column that the condition names
+    (number,) = fresh(df, "row_number")
+    df = df.withColumn(number, F.monotonically_increasing_id())
     text = F.col(f"`{own['clean_text']}`")
     out = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return df.where(F.col(f"`{own['kept']}`")).select(*[(out[c].alias(c) if out.get(c) is not None else F.col(f"`{c}`")) for c in docs.columns])
+    return df.where(F.col(f"`{own['kept']}`") & (F.col(number) >= 0)).select(*[(out[c].alias(c) if out.get(c) is not None else F.col(f"`{c}`")) for c in docs.columns])
