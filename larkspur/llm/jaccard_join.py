@@ -7,7 +7,7 @@ has none), held as 64-bit hashes; two documents link when 100 * intersection >=
    on, so groups of copies of any size cost one row per task.
 2. A second pass gives each node the part of its set that any partner must share with it (the first n/5 + 1
    shingles in one global order, common ones last) to an inverted index, dealt by shingle. In each list the
-   least node is the leader; what leaves the index are pairs (leader, member), never all pairs of a list.
+   node that has the shingle earliest is the leader; what leaves the index are pairs (leader, member), never all pairs of a list.
 3. Each node is searched for by its best leader, then links are merged into components, and only pairs of
    one list that still lie in different components are searched.
 4. A search is a T-occurrence search (DivideSkip): the inverted lists of one query over its candidates are
@@ -36,9 +36,9 @@ SHINGLE = 5
 #: 9 * intersection >= 4 * (size + size) says the same as 100 * intersection >= 80 * union.
 SHARE, OF = 4, 9
 #: Shingles for which the order by frequency is kept; all others come before them.
-MOST_COMMON = 100_000
+MOST_COMMON = 1 << 20
 #: Shingles that are counted together before counts leave a task, and the count from which they do.
-COUNTED, LEAST_COUNT = 2_000_000, 4
+COUNTED, LEAST_COUNT = 4_000_000, 2
 #: Candidates in one block of a query.
 BLOCK = 512
 #: Bits of the table that tells which nodes are wanted at all; a join behind it is exact.
@@ -158,9 +158,12 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
 def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles (at most MOST_COMMON, from a count that all of them reach), sorted, and each one's place in the order."""
+    import pyarrow as pa
+
     total = saved(counts.groupBy("node").agg(F.sum("n").alias("n")))
-    # counts are put in classes of a power of two, so this is a few dozen rows
-    classes = total.groupBy(F.floor(F.log2("n")).alias("class")).agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("class")).collect()
+    # large counts are put in classes of a power of two, so this is about a hundred rows
+    size = F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor(F.log2("n")))
+    classes = total.groupBy(size.alias("class")).agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("class")).collect()
     least, many = None, 0
     for r in classes:
         many += r["many"]
@@ -168,81 +171,145 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["class"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = total.where(F.floor(F.log2("n")) >= least).toPandas()  # at most MOST_COMMON rows
-    values, n = got["node"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(np.int64)
-    rank = np.empty(len(n), np.int64)
-    rank[np.lexsort((values, n))] = np.arange(len(n))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().astype(np.int64).tobytes()], pa.binary()) for k in (0, 1)], names=["node", "n"])
+
+    # at most MOST_COMMON numbers, a part at a time
+    got = [(r["node"], r["n"]) for r in total.where(size >= least).select("node", "n").mapInArrow(pack, "node binary, n binary").toLocalIterator()]
+    values, n = (np.frombuffer(b"".join(x[k] for x in got), np.int64) for k in (0, 1))
+    values = values.astype(np.uint64)
+    rank = np.empty(len(n), np.int32)
+    rank[np.lexsort((values, n))] = np.arange(len(n), dtype=np.int32)
     order = np.argsort(values)
     return values[order], rank[order]
 
 
-def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def shared_part(own: np.ndarray, values: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n/5 + 1 shingles of a set in the global order: those that are not common by hash, then common ones, the most common last."""
+    n = len(own)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        late = np.flatnonzero(values[at] == own)
+        if len(late):
+            late = late[np.argsort(rank[at[late]])]
+            own = np.concatenate([np.delete(own, late), own[late]])
+    return own[: n - (4 * n + 4) // 5 + 1]
+
+
+def index(docs: DataFrame, common) -> DataFrame:
     """The inverted index: shingle, node, n, pos (the shingle's place in the node's set, in the global order)."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(common)
     names = ["shingle", "node", "n", "pos"]
 
     def run(batches):
-        values, rank = shared.value
+        values, rank = common.value
         seen: set[int] = set()
         for batch in in_parts(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for own in sets(batch.column(0)):
-                n = len(own)
-                if not n or (node := node_of(own)) in seen:
+                if not len(own) or (node := node_of(own)) in seen:
                     continue
                 seen.add(node)
-                many = n - (4 * n + 4) // 5 + 1
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    late = np.flatnonzero(values[at] == own)
-                    if len(late):
-                        late = late[np.argsort(rank[at[late]])]
-                        own = np.concatenate([np.delete(own, late), own[late]])
-                out[0].append(own[:many].astype(np.int64))
-                out[1].append(np.full(many, node, np.int64))
-                out[2].append(np.full(many, n, np.int32))
-                out[3].append(np.arange(many, dtype=np.int32))
+                part = shared_part(own, values, rank)
+                out[0].append(part.astype(np.int64))
+                out[1].append(np.full(len(part), node, np.int64))
+                out[2].append(np.full(len(part), len(own), np.int32))
+                out[3].append(np.arange(len(part), dtype=np.int32))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
     return docs.select("text").mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
+def part_bits(docs: DataFrame, nodes: DataFrame, common) -> DataFrame:
+    """node, bits0 to bits7: which of 512 values the hashes of the node's shared part take. A bit that only one of two nodes has is a shingle that they do not share."""
+    import pyarrow as pa
+
+    wanted = wanted_table(nodes)
+
+    def run(batches):
+        values, rank = common.value
+        seen: set[int] = set()
+        for batch in in_parts(batches):
+            found, bits = [], []
+            for own in sets(batch.column(0)):
+                if len(own) and (node := node_of(own)) not in seen and is_wanted(node, wanted.value):
+                    seen.add(node)
+                    found.append(node)
+                    some = np.zeros(512, bool)
+                    some[(mixed(shared_part(own, values, rank)) >> np.uint64(55)).astype(np.int64)] = True
+                    bits.append(np.packbits(some).view(np.int64))
+            if found:
+                table = np.stack(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *[pa.array(table[:, k].copy()) for k in range(8)]], names=["node", *[f"bits{k}" for k in range(8)]])
+
+    return docs.select("text").mapInArrow(run, "node long, " + ", ".join(f"bits{k} long" for k in range(8))).dropDuplicates(["node"])
+
+
+def may_share(n: str, n2: str, suffix: str):
+    """Whether the bits of two nodes leave room for as many shared shingles in their shared parts as the overlap needs there."""
+    only = lambda a, b: sum((F.bit_count(F.col(f"bits{k}{a}").bitwiseAND(F.bitwise_not(F.col(f"bits{k}{b}")))) for k in range(1, 8)), F.bit_count(F.col(f"bits0{a}").bitwiseAND(F.bitwise_not(F.col(f"bits0{b}")))))
+    rest = lambda c: F.floor((4 * F.col(c) + 4) / 5) - 1
+    common = F.least(F.col(n) - rest(n) - only("", suffix), F.col(n2) - rest(n2) - only(suffix, ""))
+    return OF * (common + F.greatest(rest(n), rest(n2))) >= SHARE * (F.col(n) + F.col(n2))
+
+
 def may_link(n: str, pos: str, n2: str, pos2: str):
     """Whether two sets that have their first common shingle at these places can have the overlap."""
     return OF * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= SHARE * (F.col(n) + F.col(n2))
 
 
-def wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit numbers as bytes), for the nodes given; the texts are read again and only wanted sets leave the tasks."""
-    import pyarrow as pa
+def packed(own: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted 64-bit numbers, six bytes each: two sets of a thousand shingles agree by chance in one with odds of one in 10**8."""
+    return (own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
 
+def wanted_table(nodes: DataFrame):
+    """A broadcast table of WANTED_BITS bits (a fixed size) that tells for most unwanted nodes that they are; what it lets through, a join decides."""
     bit = F.pmod("node", F.lit(WANTED_BITS))
-    packed = nodes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
+    words = nodes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
     table = np.zeros(WANTED_BITS >> 6, np.uint64)
-    got = packed.toPandas()  # at most WANTED_BITS / 64 rows, whatever the input
+    got = words.toPandas()  # at most WANTED_BITS / 64 rows, whatever the input
     table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return nodes.sparkSession.sparkContext.broadcast(table)
+
+
+def is_wanted(node: int, table: np.ndarray) -> int:
+    at = node % WANTED_BITS
+    return int(table[at >> 6]) >> (at & 63) & 1
+
+
+def sent_sets(docs: DataFrame, send: DataFrame) -> DataFrame:
+    """Of send (node, to: array): node, to, shingles, for each of its nodes. The texts are read again and only wanted sets leave the tasks."""
+    import pyarrow as pa
+
+    wanted = wanted_table(send)
 
     def run(batches):
         seen: set[int] = set()
         for batch in in_parts(batches):
             found, shown = [], []
             for own in sets(batch.column(0)):
-                if len(own) and (node := node_of(own)) not in seen:
-                    at = node % WANTED_BITS
-                    if int(shared.value[at >> 6]) >> (at & 63) & 1:
-                        seen.add(node)
-                        found.append(node)
-                        shown.append(own.tobytes())
+                if len(own) and (node := node_of(own)) not in seen and is_wanted(node, wanted.value):
+                    seen.add(node)
+                    found.append(node)
+                    shown.append(packed(own))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(shown, pa.binary())], names=["node", "shingles"])
 
     rows = docs.select("text").mapInArrow(run, "node long, shingles binary")
-    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return rows.join(send, "node").groupBy("node").agg(F.first("to").alias("to"), F.first("shingles").alias("shingles"))
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], mu: float = 0.01) -> list[int]:
@@ -297,14 +364,15 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], mu: float = 0.0
     return found
 
 
-def search(pairs: DataFrame, found_sets: DataFrame) -> DataFrame:
+def search(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (query, node), those that link, by T-occurrence search for each query over its candidates, in blocks."""
     import pyarrow as pa
 
     blocks = pairs.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(found_sets.withColumnRenamed("node", "query"), "query")
-    offered = pairs.join(blocks, "query").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(found_sets, "node")
-    rows = asked.select("query", "block", F.lit(0).alias("role"), F.lit(0).cast("long").alias("node"), "shingles").unionByName(offered.select("query", "block", F.lit(1).alias("role"), "node", "shingles"))
+    asked = blocks.select(F.col("query").alias("node"), "query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
+    offered = pairs.join(blocks, "query").select("node", "query", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
+    send = saved(asked.unionByName(offered).groupBy("node").agg(F.collect_list(F.struct("query", "block", "role")).alias("to")))
+    rows = sent_sets(docs, send).select("node", "shingles", F.explode("to").alias("to")).select("to.query", "to.block", "to.role", "node", "shingles")
     rows = rows.repartition("query", "block").sortWithinPartitions("query", "block", "role", "node")
 
     def links(query, own, nodes, candidates):
@@ -319,7 +387,7 @@ def search(pairs: DataFrame, found_sets: DataFrame) -> DataFrame:
                     if key is not None:
                         out += links(key[0], own, nodes, candidates)
                     key, own, nodes, candidates = (q, block), None, [], []
-                got = np.frombuffer(shingles, np.uint64)
+                got = unpacked(shingles)
                 if role == 0:
                     own = got
                 elif own is not None:
@@ -354,26 +422,39 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of all documents, and (node, component) of the nodes that link with another."""
     docs = slim(docs, "doc_id", "text")
     first = saved(first_pass(docs))
-    common = common_shingles(first.where("kind = 1"))
-    in_list = Window.partitionBy("shingle").orderBy("n", "node")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(first.where("kind = 1")))
+    in_list = Window.partitionBy("shingle").orderBy(F.col("pos") / F.col("n"), "node")
     members = index(docs, common).select("*", F.first(F.struct("n", "node", "pos")).over(in_list).alias("lead"), F.lag("node").over(in_list).alias("before"))
     members = members.where("node != lead.node and not (before <=> node)").select("shingle", "node", "n", "pos", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
     members = saved(members)
-    stars = members.where(may_link("n", "pos", "lead_n", "lead_pos")).groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"))
-    best = stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query"))
-    nodes = members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct()
-    found_sets = saved(wanted_sets(docs, nodes))
-    links = saved(search(best, found_sets))
-    of = components(links)
+    # what the rest of two sets can have in common behind the shared part of the index bounds the overlap
+    larger = F.greatest("n", "lead_n")
+    stars = members.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"), F.max(may_link("n", "pos", "lead_n", "lead_pos")).alias("may"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
+    reach = F.col("many") + larger - (larger - F.floor((4 * larger + 4) / 5) + 1)
+    stars = stars.where(F.col("may") & (OF * reach >= SHARE * (F.col("n") + F.col("lead_n"))))
+    best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query")))
+    links = saved(search(docs, best))
+    of = saved(components(links))
     # lists whose members still lie apart: those that are not with the leader against all, in either order of size
     rows = members.select("shingle", "node", "n", "pos", "lead").unionByName(members.select("shingle", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"), "lead").distinct())
     rows = rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(of.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")), "lead", "left").withColumn("lead_component", F.coalesce("lead_component", "lead"))
-    apart = rows.where("component != lead_component").select("shingle", F.col("node").alias("query"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    rest = apart.join(rows, "shingle").where((F.col("component") != F.col("component2")) & may_link("n", "pos", "n2", "pos2"))
+    rows = saved(rows.select("shingle", "node", "n", "pos", "component", (F.col("component") != F.col("lead_component")).alias("apart")))
+    mixed_lists = rows.where("apart").select("shingle").distinct()
+    rows = rows.join(mixed_lists, "shingle", "left_semi")
+    bits = saved(part_bits(docs, rows.select("node").distinct(), common))
+    rows = rows.join(bits, "node")
+    apart = rows.where("apart").drop("apart").withColumnsRenamed({c: f"{c}2" for c in ("n", "pos", "component", *[f"bits{k}" for k in range(8)])}).withColumnRenamed("node", "query")
+    rest = apart.join(rows, "shingle").where((F.col("component") != F.col("component2")) & may_link("n", "pos", "n2", "pos2") & may_share("n", "n2", "2"))
     rest = rest.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")).distinct().join(best.select("node", F.col("query").alias("known")), "node", "left")
-    rest = rest.where("not (query <=> known)").select("query", "node")
-    more = search(rest, found_sets)
+    rest = saved(rest.where("not (query <=> known)").select("query", "node"))
+    # of two nodes, the one with more pairs is the query, so that few sets are sent often
+    ends = rest.select(F.explode(F.array("query", "node")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("pairs"))
+    for end in ("query", "node"):
+        rest = rest.join(ends.withColumnsRenamed({"end": end, "pairs": f"{end}_pairs"}), end)
+    turn = F.col("query_pairs") >= F.col("node_pairs")
+    rest = rest.select(F.when(turn, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(turn, F.col("node")).otherwise(F.col("query")).alias("node"))
+    more = search(docs, rest)
     return first.where("kind = 0").select("doc_id", "n", "node"), components(links.unionByName(more))
 
 
