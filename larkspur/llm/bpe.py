@@ -85,7 +85,7 @@ class ForcedBoundaryBpe:
             if final:
                 ids[-1] = self.last[part[-1]]
             ids = self.merged(ids)
-            if len(self.fragments) >= self.most:
+            if len(self.fragments) >= self.most // 4:  # fragments are only looked up for runs that both other tables lack
                 self.fragments.clear()
             if len(part) < 64:
                 self.fragments[key] = ids

@@ -52,8 +52,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_parts(batches, rows: int = 256):
-    """Arrow batches cut into short ones, so that a few very long texts bound the memory a step needs."""
+def in_parts(batches, rows: int = 256, size: int = 1 << 20):
+    """Arrow batches cut into parts of at most so many rows and, unless one row has more, bytes: long texts that come together don't add up in a worker."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and (part.num_rows > rows or part.nbytes > size):
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part

@@ -39,6 +39,8 @@ SHARE, OF = 4, 9
 MOST_COMMON = 1 << 20
 #: Shingles that are counted together before counts leave a task, and the count from which they do.
 COUNTED, LEAST_COUNT = 4_000_000, 2
+#: A worker keeps this many powers for its later texts; more are made for the text that needs them.
+MOST_POWERS = 1 << 21
 #: Candidates in one block of a query.
 BLOCK = 512
 #: Bits of the table that tells which nodes are wanted at all; a join behind it is exact.
@@ -65,14 +67,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 to n of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) <= n:
+    made = [] if len(_POWERS[0]) <= n else _POWERS
+    if not made:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for k, base in enumerate((_BASE, inverse)):
             p = np.full(n + 1, base, np.uint64)
             p[0] = 1
             with np.errstate(over="ignore"):
-                _POWERS[k] = np.cumprod(p)
-    return _POWERS[0], _POWERS[1]
+                made.append(np.cumprod(p))
+    if n <= MOST_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def sets(texts) -> list[np.ndarray]:
