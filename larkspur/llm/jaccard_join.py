@@ -423,14 +423,34 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def listed(entries: DataFrame) -> DataFrame:
+    """Of each list of the index, the entries that have a possible partner there, apart from the list's leader: shingle, node, n, pos, close, the same of the lead.
+
+    A list is looked through by size: an entry stays if the next larger set is not too large for it, or it is not
+    too large for a smaller one. close says the same of the bound that the places give (`may_link`), which holds for
+    the first shingle that two sets share. All this is sorting within the one shuffle by shingle.
+    """
+    by_size = Window.partitionBy("shingle").orderBy("n", "node")
+    smaller = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    in_list = Window.partitionBy("shingle").orderBy(F.col("pos") / F.col("n"), "node")
+    rows = entries.withColumn("before", F.lag("node").over(by_size)).where("not (before <=> node)").drop("before")
+    # the largest partner: by size alone, and by what lies behind the place
+    rows = rows.withColumns({"most": F.col("n") * (OF - SHARE), "reach": OF * (F.col("n") - F.col("pos")) - SHARE * F.col("n")})
+
+    def partner(bound: str):
+        return F.coalesce(SHARE * F.lead("n").over(by_size) <= F.col(bound), F.lit(False)) | F.coalesce(F.max(bound).over(smaller) >= SHARE * F.col("n"), F.lit(False))
+
+    rows = rows.withColumns({"stays": partner("most"), "close": partner("reach")}).where("stays").drop("most", "reach", "stays")
+    rows = rows.withColumn("lead", F.first(F.struct("n", "node", "pos", "close")).over(in_list)).where("node != lead.node")
+    return rows.select("shingle", "node", "n", "pos", "close", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"), F.col("lead.close").alias("lead_close"))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of all documents, and (node, component) of the nodes that link with another."""
     docs = slim(docs, "doc_id", "text")
     first = saved(first_pass(docs))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(first.where("kind = 1")))
-    in_list = Window.partitionBy("shingle").orderBy(F.col("pos") / F.col("n"), "node")
-    members = index(docs, common).select("*", F.first(F.struct("n", "node", "pos")).over(in_list).alias("lead"), F.lag("node").over(in_list).alias("before"))
-    members = members.where("node != lead.node and not (before <=> node)").select("shingle", "node", "n", "pos", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
+    members = listed(index(docs, common))
     members = saved(members)
     # what the rest of two sets can have in common behind the shared part of the index bounds the overlap
     larger = F.greatest("n", "lead_n")
@@ -441,7 +461,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = saved(search(docs, best))
     of = saved(components(links))
     # lists whose members still lie apart: those that are not with the leader against all, in either order of size
-    rows = members.select("shingle", "node", "n", "pos", "lead").unionByName(members.select("shingle", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"), "lead").distinct())
+    # (an entry that is not close has no partner for which this list holds the first shingle in common)
+    rows = members.where("close").select("shingle", "node", "n", "pos", "lead").unionByName(members.where("lead_close").select("shingle", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"), "lead").distinct())
     rows = rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(of.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")), "lead", "left").withColumn("lead_component", F.coalesce("lead_component", "lead"))
     rows = saved(rows.select("shingle", "node", "n", "pos", "component", (F.col("component") != F.col("lead_component")).alias("apart")))
