@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,20 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the one that spark.checkpoint.dir names. Only a local master may do without (tests): it gets a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="larkspur-")
+
+
 def checkpointing(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's shared folder if it names one, a temporary one otherwise (tests, single machine)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
+    """Make checkpoint() usable."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -63,3 +73,11 @@ def in_parts(batches, rows: int = 256, size: int = 1 << 20):
                 todo += [part.slice(half), part.slice(0, half)]
             else:
                 yield part
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))

@@ -3,13 +3,15 @@
 An Aho-Corasick automaton runs once over a text and reports its anchors: at signs, plus signs, digits,
 schemes and identifier cues. Small deterministic parsers then expand each anchor to the left and right
 and validate what they find: email, network address, card and phone (the base kinds), and, as spans that
-the method adds, web addresses with a scheme, bank account numbers and identifiers after a cue.
+the method adds, web addresses with a scheme, phone numbers after tel:, bank account numbers and identifiers
+after a cue.
 
 Base kinds are leftmost and do not overlap within a kind; a match that fails its validation is dropped
 and the search goes on behind it. Kinds may overlap each other. Offsets are code points, end exclusive.
 
 Results for odd rows: null text counts as empty and has no span; repeated rows give repeated results;
-texts are scanned whole, in time linear in their length.
+texts are scanned whole, in time linear in their length; a part of an address may have any number of digits
+(leading zeros don't count, more than three others fail it); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import types as T
 from larkspur.llm.common import in_parts, slim
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("url", "iban", "id")
+ADDED = ("url", "tel", "iban", "id")
 KINDS = BASE + ADDED
+#: What is personal wherever it stands.
+PERSONAL = tuple(k for k in KINDS if k != "url")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
 #: Anchors besides at sign, plus sign and digits; cues are matched in small, title and capital letters.
-SCHEMES = ("http://", "https://", "ftp://", "sftp://", "mailto:", "tel:")
+SCHEMES = ("http://", "https://", "ftp://", "sftp://", "tel:")
 CUES = ("iban", "ssn", "social security", "passport", "account", "acct", "tax id", "driver license", "licence no")
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -36,6 +40,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What follows tel: (a plus sign is an anchor of its own).
+DIALLED = re.compile(r"[0-9][\x20().0-9-]+[0-9]")
 #: What follows a scheme, up to white space, quotes or brackets.
 WEB = re.compile(r"(?:[^\s/@\"'<>]+@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\s\"'<>()\[\]{}]*)?")
 #: Between a cue and its number: a few filler words and marks.
@@ -51,6 +57,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def in_byte(part: str) -> bool:
+    """Whether digits stand for at most 255, however many there are."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def iban_holds(text: str) -> bool:
     """The check digits of a bank account number."""
     t = text.replace(" ", "")
@@ -82,7 +94,7 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """(start, kind, end), by start, then kind as listed."""
         out: list[tuple[int, str, int]] = []
-        email_end = ip_end = card_end = phone_end = url_end = id_end = 0
+        email_end = ip_end = card_end = phone_end = url_end = tel_end = id_end = 0
         before = -2  # the last digit's place
         for end, (size, what) in self.anchors.iter(text):
             at = end - size + 1
@@ -105,14 +117,19 @@ class Finder:
                     elif m := IDENTIFIER.match(text, after):
                         out.append((after, "id", id_end := m.end()))
             elif len(what) > 1:
-                if at >= url_end and what.endswith("//") and (m := WEB.match(text, end + 1)):
+                if what == "tel:":
+                    if at >= tel_end and (at == 0 or not text[at - 1].isalnum()) and (m := DIALLED.match(text, end + 1)):
+                        tel_end = m.end()
+                        if 7 <= sum(c in "0123456789" for c in m[0]) <= 15:
+                            out.append((end + 1, "tel", tel_end))
+                elif at >= url_end and (m := WEB.match(text, end + 1)):
                     url_end = end + 1 + len(m[0].rstrip(".,;:!?"))
                     out.append((at, "url", url_end))
             else:
                 first, before = before != at - 1, at
                 if first and at >= ip_end and (m := ADDRESS.match(text, at)):
                     ip_end = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(map(in_byte, m[0].split("."))):
                         out.append((at, "ip", ip_end))
                 if at >= card_end and (m := DIGITS.match(text, at)):
                     card_end = m.end()
@@ -180,8 +197,12 @@ def masked(text: str, spans: list[tuple[int, str, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def mask(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced by its kind, and n_chars (if there is one) counted again; null texts stay null."""
+def mask(docs: DataFrame, kinds: tuple[str, ...] = PERSONAL) -> DataFrame:
+    """docs with personal data in text replaced by its kind, and n_chars (if there is one) counted again; null texts stay null.
+
+    kinds: what is replaced. Web addresses are not personal as such and stay, unless "url" is named; mail and network
+    addresses inside them go like any other.
+    """
     import pyarrow as pa
 
     schema, names = docs.schema, docs.columns
@@ -191,7 +212,7 @@ def mask(docs: DataFrame) -> DataFrame:
     def run(batches):
         look = finder()
         for batch in in_parts(batches):
-            texts = [x if x is None else masked(x, look.spans(x)) for x in batch.column(text_at).to_pylist()]
+            texts = [x if x is None else masked(x, [y for y in look.spans(x) if y[1] in kinds]) for x in batch.column(text_at).to_pylist()]
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, pa.string())
             if count_at is not None:

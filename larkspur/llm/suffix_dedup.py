@@ -1,67 +1,87 @@
-"""Removal of repeated passages: a distributed sparse suffix sort.
-
-A byte goes if a string of LENGTH bytes that covers it also starts earlier (in a document that comes before,
-or earlier in the same one). A suffix for every byte would be many times the corpus, so suffixes start at
-anchors only: of the GRAM-byte runs inside a window of LENGTH bytes, the one with the least hash. Equal
-windows have their anchor at the same place, so they meet at the suffixes of their anchors.
-
-1. One pass counts the anchors' runs; those that occur once can't be in a repeated window.
-2. A second pass cuts, around each anchor whose run occurs again, the bytes of all windows that have it as
-   their anchor: the suffix from the anchor on, and the prefix before it. A bitmap of fixed size says which
-   runs occur again; what it lets through wrongly is found unrepeated later.
-3. Suffixes are range-partitioned by sampled splitters (Spark's repartitionByRange over the suffix, then the
-   document, so that a passage which stands in a third of all documents is spread as well), and each
-   partition sorts its own by a multikey quicksort, eight bytes at a time. Suffixes that share the leading
-   run stand together; equal surroundings fold into the earliest, and what differs is compared window by window.
-4. The first and the last leading run of a partition may go on in the next one: their windows that are first
-   within the partition are compared across boundaries, by a hash of the window.
+"""Removal of repeated passages: a distributed sparse suffix array.
+
+A byte goes if a string of LENGTH bytes (a window) that covers it also starts earlier (in a document that
+comes before, or earlier in the same one). A suffix for every byte would be a hundred times the corpus, so
+suffixes start at anchors only: of the GRAM-byte runs inside a window, the one with the least hash. Equal
+windows have their anchor at the same offset, so they meet at the suffixes of their anchors.
+
+1. One pass counts the anchors' runs; those that occur once can't be in a repeated window. Anchors whose
+   windows all repeat those of the anchor before them in the same text (a text of one byte, say, has an anchor
+   at every byte) are settled there and then, by comparing bytes, and leave the list.
+2. A second pass cuts, for each anchor whose run occurs again, the suffix from the anchor on and the prefix
+   before it, as far as its windows reach. A bitmap of fixed size says which runs occur again; what it lets
+   through wrongly is found unrepeated later.
+3. Suffixes are range-partitioned by sampled splitters (repartitionByRange over the suffix, then the document,
+   so that a passage which stands in a third of all documents is spread as well). Each partition orders its
+   suffixes, and its prefixes read backwards, by a multikey quicksort, and takes the lengths that neighbours
+   have in common. Two windows with offset d are equal if nothing between them in the order of suffixes falls
+   below LENGTH - d common bytes, and nothing in the order of prefixes below d. The earliest one stays.
+4. What stays in a partition and may be equal to a window of another one (it shares LENGTH - d bytes with the
+   partition's first or last suffix) is compared across boundaries, by a 128-bit digest of its bytes.
 5. The ranges that go are joined with the texts.
 
-Results for odd rows: null text counts as empty; texts shorter than LENGTH lose nothing; a null doc_id comes
-after all others; rows that repeat both id and text are one document, and each gets its result; rows that
-repeat an id with other text are ordered by a hash of the text.
+Results for odd rows: null text counts as empty; texts shorter than LENGTH lose nothing; ids may be of any type
+that has an order, and a null doc_id comes after all others; rows that repeat both id and text are one document,
+and each gets its result; rows that repeat an id with other text are ordered by a hash of the text; an empty
+table gives an empty result. A text of any length is looked at PART bytes at a time.
 """
 
 from __future__ import annotations
 
 import math
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import in_parts, partitions, saved, slim
-from larkspur.llm.jaccard_join import mixed, powers
+from larkspur.llm.common import in_parts, mixed, partitions, saved, slim
 
-LENGTH, GRAM = 100, 20
-#: Suffixes that one task sorts, and windows that it compares at once.
-SORTED, COMPARED = 150_000, 1_000_000
+LENGTH, GRAM = 100, 32
+#: Suffixes that one task sorts, about.
+SORTED = 250_000
+#: Parts of this size and less are sorted directly.
+SMALL = 48
 #: The bitmap of runs that occur again has at most so many bits (8 MB).
 MOST_BITS = 1 << 26
-#: Places of a text that one hash can tell apart; longer texts are cut with an overlap.
-PLACE_BITS = 26
-_BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def sums(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the bytes' numbers times powers, before each place; and the inverse powers."""
-    up, down = powers(len(flat))
-    out = np.zeros(len(flat) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTES[flat] * up[: len(flat)], out=out[1:])
-    return out, down
-
-
-def anchors(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts that stand in flat at these bounds: (first window, last window, anchor, hash of its run) of each anchor, in order."""
+#: Bytes of a text that are looked at at once, and bits that hold a place in them.
+PART, PLACE_BITS = 1 << 20, 21
+_ODD = np.random.default_rng(77).integers(1, 1 << 63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LEADING = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
+
+
+def eights(flat: np.ndarray) -> np.ndarray:
+    """At each place, and at the end, the eight bytes from there on as one number, the first byte highest; zeros stand behind the end."""
+    return np.ndarray((len(flat) + 1,), ">u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def repeats_before(flat: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, a: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which anchors have only windows that are equal to those as far before them as the anchor before."""
+    step = np.diff(a, prepend=a[:1])
+    maybe = np.zeros(len(a), bool)
+    maybe[1:] = (run[1:] == run[:-1]) & (step[1:] <= LENGTH - GRAM)
+    maybe &= first - step >= at[np.searchsorted(at, first, side="right") - 1]
+    for q in np.unique(step[maybe]).tolist():
+        k = np.flatnonzero(maybe & (step == q))
+        low = int(first[k[0]]) - q
+        same = np.cumsum(np.concatenate([[0], flat[low + q : last[k[-1]] + LENGTH] == flat[low : last[k[-1]] + LENGTH - q]]), dtype=np.int32)
+        maybe[k] = same[last[k] + LENGTH - q - low] - same[first[k] - q - low] == last[k] + LENGTH - first[k]
+    return maybe
+
+
+def anchors(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For texts that stand in flat at these bounds: (first window, last window, anchor, hash of its run) of each anchor, in order,
+    and the ranges of bytes (start, end) that go because windows repeat the ones just before them."""
     none = np.zeros(0, np.int64)
     if len(flat) < LENGTH:
-        return none, none, none, np.zeros(0, np.uint64)
-    total, down = sums(flat)
-    n = len(flat) - GRAM + 1
+        return none, none, none, np.zeros(0, np.uint64), none, none
+    n, eight = len(flat) - GRAM + 1, eights(flat)
+    run = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        run = mixed((total[GRAM:] - total[:n]) * down[:n])
+        for k in range(GRAM // 8):
+            run += eight[8 * k : 8 * k + n].astype(np.uint64) * _ODD[k]
+    run = mixed(run)
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = (run & ~low) | np.arange(n, dtype=np.uint64)
     width = LENGTH - GRAM + 1
@@ -71,21 +91,27 @@ def anchors(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         size *= 2
     windows = len(flat) - LENGTH + 1
     least = np.minimum(least[:windows], least[width - size : width - size + windows])
-    anchor = (least & low).astype(np.int64)
     inside = np.ones(windows, bool)  # windows that do not cross from one text into the next
     for b in at[1:-1].tolist():
         inside[max(0, b - LENGTH + 1) : b] = False
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
-    a = anchor[starts]
+        return none, none, none, np.zeros(0, np.uint64), none, none
+    a = (least[starts] & low).astype(np.int64)
     cut = np.flatnonzero((np.diff(a) != 0) | (np.diff(starts) != 1)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]) - 1
-    return starts[first], starts[last], a[first], run[a[first]]
+    first, last, a = starts[first], starts[last], a[first]
+    gone = repeats_before(flat, at, first, last, a, run[a])
+    begin, end = first[gone], last[gone] + LENGTH
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > end[:-1]) | (np.searchsorted(at, begin[1:], side="right") != np.searchsorted(at, begin[:-1], side="right"))
+    k = np.flatnonzero(new)
+    return first[~gone], last[~gone], a[~gone], run[a[~gone]], begin[k], end[np.concatenate([k[1:], [len(begin)]]) - 1] if len(k) else none
 
 
 def spread(texts):
-    """Of an Arrow string column: parts of at most 1 << PLACE_BITS bytes as (flat bytes, bounds, row of each text, where in its text each begins)."""
+    """Of an Arrow string column: parts of about PART bytes as (flat bytes, bounds, row of each text, where in its text each begins).
+    Parts of one text overlap so that each window stands in one of them."""
     import pyarrow as pa
 
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -94,16 +120,16 @@ def spread(texts):
     if data is None or at[-1] == at[0]:
         return
     flat, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
-    most, i = 1 << PLACE_BITS, 0
+    i = 0
     while i < len(at) - 1:
         j = i + 1
-        while j < len(at) - 1 and at[j + 1] - at[i] <= most // 16:
+        while j < len(at) - 1 and at[j + 1] - at[i] <= PART:
             j += 1
-        if at[j] - at[i] <= most:
+        if at[j] - at[i] <= PART:
             yield flat[at[i] : at[j]], at[i : j + 1] - at[i], np.arange(i, j), np.zeros(j - i, np.int64)
-        else:  # one text that is longer than places go
-            for k in range(0, int(at[j] - at[i]) - LENGTH + 1, most - LENGTH + 1):
-                part = flat[at[i] + k : min(at[j], at[i] + k + most)]
+        else:
+            for k in range(0, int(at[j] - at[i]) - LENGTH + 1, PART - LENGTH + 1):
+                part = flat[at[i] + k : min(at[j], at[i] + k + PART)]
                 yield part, np.array([0, len(part)]), np.array([i]), np.array([k])
         i = j
 
@@ -146,153 +172,192 @@ def bitmap(runs: DataFrame, many: int) -> np.ndarray:
 
 
 def suffixes(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """Of rows (ord, tie, text): suffix, prefix, ord, tie, start (of the first window) for each anchor whose run may occur again."""
+    """Of rows (ord, tie, text): suffix, prefix, ord, tie, start (of the first window) for each anchor whose run may occur again;
+    and, with end above 0 and a few bytes to be dealt by as suffix, ranges that go because a text repeats itself."""
     import pyarrow as pa
 
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    names = ["suffix", "prefix", "ord", "tie", "start"]
+    names = ["suffix", "prefix", "ord", "tie", "start", "end"]
 
     def cut(batches):
         bits = shared.value
         wrap = np.uint64(len(bits) * 64 - 1)
         for batch in in_parts(batches):
-            ids, ties = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            ties = batch.column(1).to_numpy(zero_copy_only=False)
             for flat, at, row, begins in spread(batch.column(2)):
-                first, last, a, run = anchors(flat, at)
+                first, last, a, run, begin, end = anchors(flat, at)
                 bit = run & wrap
                 keep = np.flatnonzero((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-                if not len(keep):
-                    continue
                 first, last, a = first[keep], last[keep], a[keep]
-                text = np.searchsorted(at, a, side="right") - 1
-                data = flat.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([data[x : y + LENGTH] for x, y in zip(a.tolist(), last.tolist())], pa.binary()),
-                    pa.array([data[x:y] for x, y in zip(first.tolist(), a.tolist())], pa.binary()),
-                    pa.array(ids[row[text]], pa.int64()), pa.array(ties[row[text]], pa.int64()), pa.array(first - at[text] + begins[text], pa.int64()),
-                ], names=names)
-
-    return rows.mapInArrow(cut, "suffix binary, prefix binary, ord long, tie long, start long")
-
-
-def multikey_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the strings, and for each place whether it begins another leading run of GRAM bytes.
-
-    A multikey quicksort that takes eight bytes at a time: strings that still tie are parted by the next eight.
-    """
-    n = len(strings)
-    wide = -(-max(map(len, strings)) // 8)
-    words = np.array(strings, f"S{wide * 8}").view(">u8").reshape(n, wide)
-    order, part = np.arange(n), np.zeros(n, np.int64)
-    todo = np.arange(n)  # places whose strings still tie with a neighbour
-    for k in range(wide):
-        if not len(todo):
-            break
-        w = words[order[todo], k].astype(np.uint64)
-        inner = np.lexsort((w, part[todo]))
-        order[todo] = order[todo][inner]
-        w, p = w[inner], part[todo]
-        new = np.ones(len(todo), bool)
-        new[1:] = (p[1:] != p[:-1]) | (w[1:] != w[:-1])
-        part[todo] = todo[np.flatnonzero(new)][np.cumsum(new) - 1]  # a part is named by its first place
-        single = new.copy()
-        single[:-1] &= new[1:]
-        todo = todo[~single]
-    lead = np.array([s[:GRAM] for s in strings], f"S{GRAM}")[order]
-    begins = np.ones(n, bool)
-    begins[1:] = lead[1:] != lead[:-1]
-    return order, begins
-
-
-def compared(strings: list[bytes], ords: np.ndarray, ties: np.ndarray, starts: np.ndarray):
-    """Windows of surroundings that share a leading run: (row, window's place, hash, whether an earlier one is equal)."""
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    size = np.array([len(s) for s in strings])
-    begin = np.cumsum(size) - size
-    total, down = sums(flat)
-    many = size - LENGTH + 1
-    row = np.repeat(np.arange(len(strings)), many)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    at = begin[row] + offset
-    with np.errstate(over="ignore"):
-        hashed = mixed((total[at + LENGTH] - total[at]) * down[at])
-    place = starts[row] + offset
-    order = np.lexsort((place, ties[row], ords[row], hashed))
-    h = hashed[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    same = (ords[row[lead]] == ords[row[order]]) & (ties[row[lead]] == ties[row[order]]) & (place[lead] == place[order])
-    later = np.zeros(len(h), bool)
-    later[order] = ~same
-    return row, place, hashed, later
+                text = np.searchsorted(at, np.concatenate([a, begin]), side="right") - 1
+                data, at_row = flat.tobytes(), row[text]
+                move = begins[text] - at[text]
+                suffix = [data[x : y + LENGTH] for x, y in zip(a.tolist(), last.tolist())] + [blake2b(x.to_bytes(8, "little") + data[x : x + GRAM], digest_size=8).digest() for x in begin.tolist()]
+                if suffix:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(suffix, pa.binary()),
+                        pa.array([data[x:y] for x, y in zip(first.tolist(), a.tolist())] + [b""] * len(begin), pa.binary()),
+                        batch.column(0).take(pa.array(at_row)), pa.array(ties[at_row], pa.int64()), pa.array(np.concatenate([first, begin]) + move, pa.int64()),
+                        pa.array(np.concatenate([np.zeros(len(a), np.int64), end + move[len(a) :]]), pa.int64()),
+                    ], names=names)
+
+    schema = T.StructType([T.StructField("suffix", T.BinaryType()), T.StructField("prefix", T.BinaryType()), rows.schema["ord"], *[T.StructField(c, T.LongType()) for c in ("tie", "start", "end")]])
+    return rows.mapInArrow(cut, schema)
+
+
+def multikey_quicksort(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The order of the strings that begin at these places and have these sizes. A character is a word of eight bytes: a part of the
+    strings is split by one word into those below, equal and above; the equal ones that go on are split by their next word."""
+    eight, data = eights(flat), flat.tobytes()
+    begins, ends = begin.tolist(), (begin + size).tolist()
+    order = np.arange(len(begin))
+    todo = [(0, len(begin), 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        part = order[low:high]
+        if high - low <= SMALL:
+            order[low:high] = sorted(part.tolist(), key=lambda i: data[begins[i] + depth : ends[i]])  # noqa: B023
+            continue
+        left = size[part] - depth
+        word = eight[begin[part] + depth].astype(np.uint64)
+        short = left < 8
+        if short.any():
+            word[short] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * np.maximum(left[short], 1).astype(np.uint64))
+            word[left <= 0] = 0
+        pivot = sorted((int(word[0]), int(word[len(word) // 2]), int(word[-1])))[1]
+        below, same = word < np.uint64(pivot), word == np.uint64(pivot)
+        above = ~(below | same)
+        ended = same & (left <= 8)
+        goes_on = same & ~ended
+        done = part[ended][np.argsort(left[ended], kind="stable")]
+        order[low:high] = np.concatenate([part[below], done, part[goes_on], part[above]])
+        a = low + int(below.sum())
+        b = a + len(done)
+        c = b + int(goes_on.sum())
+        todo += [(x, y, d) for x, y, d in ((low, a, depth), (b, c, depth + 8), (c, high, depth)) if y - x > 1]
+    return order
+
+
+def common_lengths(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place of the order but the first: how many bytes its string has in common with the one before."""
+    eight, a, b = eights(flat), order[:-1], order[1:]
+    out = np.minimum(size[a], size[b])
+    open_, depth = np.flatnonzero(out > 0), 0
+    while len(open_):
+        x = eight[begin[a[open_]] + depth].astype(np.uint64) ^ eight[begin[b[open_]] + depth].astype(np.uint64)
+        differ = x != 0
+        k = open_[differ]
+        out[k] = np.minimum(out[k], depth + (x[differ][:, None] < _LEADING).sum(1))
+        open_, depth = open_[~differ], depth + 8
+        open_ = open_[out[open_] > depth]
+    return out
+
+
+class Neighbours:
+    """The strings of a column in order, and for each length which of them have that many first bytes in common."""
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray):
+        self.order = multikey_quicksort(flat, begin, size)
+        self.common = common_lengths(flat, begin, size, self.order)
+
+    def classes(self, length: int) -> np.ndarray:
+        """A number for each string, equal for those that are at least so long and have so many bytes in common."""
+        out = np.zeros(len(self.order), np.int64)
+        out[self.order[1:]] = np.cumsum(self.common < length)
+        return out
+
+
+def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow binary column one after another, and their bounds."""
+    import pyarrow as pa
+
+    x = column.cast(pa.large_binary())
+    at = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    data = x.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)), at - at[0]
+
+
+def ages(ids, ties: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (id, tie, place), null ids last, and for each row the number of its triple in that order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    order = pc.sort_indices(pa.table({"id": ids, "tie": ties, "place": places}), sort_keys=[("id", "ascending"), ("tie", "ascending"), ("place", "ascending")], null_placement="at_end").to_numpy().astype(np.int64)
+    code = ids.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    new = np.zeros(len(order), np.int64)
+    for x in (code, ties, places):
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    age = np.empty(len(order), np.int64)
+    age[order] = np.cumsum(new)
+    return order, age
 
 
 def resolve(rows: DataFrame, parts: int) -> DataFrame:
     """Of suffixes: what is repeated within a partition (kind 0: ord, tie, start and end of bytes that go) and
-    first windows at its boundaries (kind 1: ord, tie, start, and two hashes)."""
+    the first ones of windows that may go on in another (kind 1: ord, tie, start, and a digest)."""
     import pyarrow as pa
 
-    names = ["kind", "ord", "tie", "start", "end", "hash"]
+    names = ["kind", "ord", "tie", "start", "end", "window"]
 
-    def batch_of(kind, ords, ties, start, end, hashed):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ords), kind, np.int32)), pa.array(ords), pa.array(ties), pa.array(start), pa.array(end), pa.array(hashed)], names=names)
-
-    def spans(row, place, hit, ords, ties):
-        """Ranges of bytes of runs of windows."""
-        k = np.flatnonzero(hit)
-        if not len(k):
-            return None
-        cut = np.flatnonzero((np.diff(row[k]) != 0) | (np.diff(place[k]) != 1)) + 1
-        a, b = k[np.concatenate([[0], cut])], k[np.concatenate([cut, [len(k)]]) - 1]
-        return batch_of(0, ords[row[a]], ties[row[a]], place[a], place[b] + LENGTH, np.zeros(len(a), np.int64))
+    def batch_of(kind, ids, ties, start, end, windows=None):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), ids, pa.array(ties, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.nulls(len(ids), pa.binary()) if windows is None else pa.array(windows, pa.binary())], names=names)
 
     def sort_and_compare(batches):
-        got = list(batches)
-        if not (n := sum(b.num_rows for b in got)):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        got = pa.Table.from_batches(got).combine_chunks()
+        columns = [c.chunk(0) for c in got.columns]
+        known = columns[5].to_numpy() > 0
+        if known.any():
+            k = pa.array(np.flatnonzero(known))
+            yield batch_of(0, columns[2].take(k), *[columns[i].take(k).to_numpy() for i in (3, 4, 5)])
+            k = pa.array(np.flatnonzero(~known))
+            columns = [c.take(k) for c in columns]
+        if not (n := len(columns[0])):
             return
-        suffix = [x for b in got for x in b.column(0).to_pylist()]
-        prefix = [x for b in got for x in b.column(1).to_pylist()]
-        ords, ties, starts = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in (2, 3, 4))
-        order, begins = multikey_order(suffix)
-        group = np.cumsum(begins) - 1
-        edge = (group == 0) | (group == group[-1])
-        whole = [prefix[i] + suffix[i] for i in order.tolist()]
-        ords, ties, starts = ords[order], ties[order], starts[order]
-        # equal surroundings fold into the earliest
-        kept: dict[tuple, int] = {}
-        earliest = np.lexsort((starts, ties, ords))
-        twin = np.zeros(n, bool)
-        again = np.zeros(n, bool)  # the same suffix of the same document, from a row that repeats another
-        for i in earliest.tolist():
-            k = kept.setdefault((whole[i], len(prefix[order[i]])), i)
-            if k != i:
-                twin[i] = True
-                again[i] = ords[k] == ords[i] and ties[k] == ties[i] and starts[k] == starts[i]
-        gone = np.flatnonzero(twin & ~again)
-        if len(gone):
-            yield batch_of(0, ords[gone], ties[gone], starts[gone], starts[gone] + np.array([len(whole[i]) for i in gone.tolist()]), np.zeros(len(gone), np.int64))
-        left = np.flatnonzero(~twin)
-        many = np.bincount(group[left], minlength=group[-1] + 1)
-        left = left[(many[group[left]] > 1) | edge[left]]
-        at = 0
-        while at < len(left):  # whole groups, as many as COMPARED windows hold
-            to, windows = at, 0
-            while to < len(left) and (windows < COMPARED or group[left[to]] == group[left[to - 1]]):
-                windows += len(whole[left[to]]) - LENGTH + 1
-                to += 1
-            some = left[at:to]
-            row, place, hashed, later = compared([whole[i] for i in some.tolist()], ords[some], ties[some], starts[some])
-            if (out := spans(row, place, later, ords[some], ties[some])) is not None:
-                yield out
-            k = np.flatnonzero(~later & edge[some][row])
-            if len(k):
-                lead = np.array([int.from_bytes(sha256(whole[i][len(prefix[order[i]]) :][:GRAM]).digest()[:8], "big", signed=True) if edge[i] else 0 for i in some.tolist()])
-                yield batch_of(1, ords[some][row[k]], ties[some][row[k]], place[k], lead[row[k]], hashed[k].astype(np.int64))
-            at = to
+        (suffix, s_at), (prefix, p_at) = bytes_of(columns[0]), bytes_of(columns[1])
+        s_size, p_size = np.diff(s_at), np.diff(p_at)
+        ids, ties, anchor = columns[2], columns[3].to_numpy(), columns[4].to_numpy() + p_size
+        forward = Neighbours(suffix, s_at[:-1], s_size)
+        backward = Neighbours(prefix[::-1], len(prefix) - p_at[1:], p_size)
+        order, age = ages(ids, ties, anchor)
+        ends = forward.order[[0, -1]]
+        data, before = suffix.tobytes(), prefix.tobytes()
+        widest = LENGTH - GRAM
+        gone = np.zeros((n, widest + 2), bool)  # of each anchor, the offsets of its windows that go
+        edge_row, edge_offset = [], []
+        for d in range(widest + 1):
+            has = order[(LENGTH - s_size[order] <= d) & (d <= p_size[order])]
+            if not len(has):
+                continue
+            ahead = forward.classes(LENGTH - d)
+            key = ahead[has] * (n + 1) + backward.classes(d)[has]
+            by_key = np.argsort(key, kind="stable")
+            key, has = key[by_key], has[by_key]
+            new = np.ones(len(has), bool)
+            new[1:] = key[1:] != key[:-1]
+            lead = has[np.flatnonzero(new)][np.cumsum(new) - 1]
+            gone[has, d] = age[has] != age[lead]
+            stays = has[new]
+            stays = stays[(ahead[stays] == ahead[ends[0]]) | (ahead[stays] == ahead[ends[1]])]
+            edge_row.append(stays)
+            edge_offset.append(np.full(len(stays), d))
+        flips = np.diff(gone.ravel().astype(np.int8), prepend=0)
+        begin, end = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)  # runs of offsets; the last column is never set
+        if len(begin):
+            row = begin // (widest + 2)
+            a = anchor[row]
+            yield batch_of(0, ids.take(pa.array(row)), ties[row], a - (end - 1) % (widest + 2), a - begin % (widest + 2) + LENGTH)
+        if edge_row:
+            row, offset = np.concatenate(edge_row), np.concatenate(edge_offset)
+            if len(row):
+                windows = [blake2b(before[p - d : p] + data[s : s + LENGTH - d], digest_size=16).digest() for p, s, d in zip(p_at[1:][row].tolist(), s_at[row].tolist(), offset.tolist())]
+                yield batch_of(1, ids.take(pa.array(row)), ties[row], anchor[row] - offset, np.zeros(len(row), np.int64), windows)
 
     dealt = rows.repartitionByRange(parts, "suffix", "ord", "tie", "start")
-    return dealt.mapInArrow(sort_and_compare, "kind int, ord long, tie long, start long, end long, hash long")
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), rows.schema["ord"], *[T.StructField(c, T.LongType()) for c in ("tie", "start", "end")], T.StructField("window", T.BinaryType())])
+    return dealt.mapInArrow(sort_and_compare, schema)
 
 
 def removed(rows: DataFrame) -> DataFrame:
@@ -301,9 +366,9 @@ def removed(rows: DataFrame) -> DataFrame:
     stats = runs.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     parts = max(partitions(rows.sparkSession), math.ceil(stats["n"] / SORTED), 1)
     found = saved(resolve(suffixes(rows, bitmap(runs, stats["runs"])), parts))
-    edges = found.where("kind = 1")
-    least = edges.groupBy("hash", "end").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("ord", "tie", "start")).alias("least")).where("many > 1").drop("many")
-    across = edges.join(least, ["hash", "end"]).where("struct(ord, tie, start) != least").select("ord", "tie", "start", (F.col("start") + LENGTH).alias("end"))
+    edges = found.where("kind = 1").withColumn("place", F.struct(F.col("ord").isNull().alias("no_id"), "ord", "tie", "start"))
+    least = edges.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min("place").alias("least")).where("many > 1").drop("many")
+    across = edges.join(least, "window").where("not (place <=> least)").select("ord", "tie", "start", (F.col("start") + LENGTH).alias("end"))
     return found.where("kind = 0").select("ord", "tie", "start", "end").unionByName(across).groupBy("ord", "tie").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
@@ -321,12 +386,11 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
 def dedupe(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay) and, unless with_kept is false, kept (those bytes)."""
     import pyarrow as pa
-    from pyspark.sql import types as T
 
     docs = slim(docs, "doc_id", "text")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64("text").alias("tie"), "text", "doc_id")
-    ranges = removed(rows.select("ord", "tie", "text"))
-    joined = rows.join(ranges, ["ord", "tie"], "left").select("doc_id", "text", "ranges")
+    rows = docs.select(F.col("doc_id").alias("ord"), F.xxhash64("text").alias("tie"), "text")
+    ranges = removed(rows).withColumnsRenamed({"ord": "ord2", "tie": "tie2"})
+    joined = rows.join(ranges, rows["ord"].eqNullSafe(ranges["ord2"]) & (rows["tie"] == ranges["tie2"]), "left").select("ord", "text", "ranges")
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.BinaryType())] * with_kept])
 
     def cut(batches):
