@@ -6,31 +6,43 @@ has none), held as 64-bit hashes; two documents link when 100 * intersection >=
 1. One pass over the texts hashes each set as a whole. Documents with equal sets are one node from here
    on, so groups of copies of any size cost one row per task.
 2. A second pass gives each node the part of its set that any partner must share with it (the first n/5 + 1
-   shingles in one global order, common ones last) to an inverted index, dealt by shingle. In each list the
-   node that has the shingle earliest is the leader; what leaves the index are pairs (leader, member), never all pairs of a list.
+   shingles in one global order, common ones last) to inverted lists, dealt by shingle; the lists of common
+   shingles are dealt in salted parts of about HOT entries. In each part the node that has the shingle earliest
+   is the leader; what leaves the lists are pairs (leader, member), never all pairs of a list.
 3. Each node is searched for by its best leader, then links are merged into components, and only pairs of
    one list that still lie in different components are searched.
-4. A search is a T-occurrence search (DivideSkip): the inverted lists of one query over its candidates are
-   parted into long and short ones; the short ones are merged by a heap that skips, and the candidates that
-   can still reach the overlap are probed in the long ones by bisection. Candidates of one query are dealt
-   in blocks, so that a query with very many is spread over tasks.
-
-The order of shingles bears on cost only, not on results. Components come from rounds of joins with
-checkpoints. Results for odd rows: a document without a word is linked with nothing; repeated rows and equal
-texts are one component; a null doc_id never names a component unless it has only nulls.
+4. A search is a T-occurrence search (DivideSkip) over the inverted lists of a batch of candidates' whole sets:
+   for each query the longest of its lists are set aside, the short ones are merged by a heap that skips, and the
+   candidates that can still reach the overlap are probed in the long ones by bisection. Candidates of one query
+   are dealt in blocks by size, so that a query with very many is spread over tasks.
+
+The order of shingles, their salts and their leaders bear on cost only, not on results. Texts that are searched
+are read again, found by a hash of the text in a bitmap of fixed size and a join behind it, and travel as texts,
+which are smaller than their sets. Components come from rounds of joins with checkpoints; keys that stand in very
+many rows are joined by a broadcast of at most MOST_HUBS of them.
+
+Hashes: words are hashed by chains of bijections over eight bytes at a time (words of up to eight bytes can't
+collide), shingles and sets from those. A false link or a lost one needs a collision of two 64-bit hashes: odds of
+about one in 10**13 for two sets of a thousand shingles, and of one in 37 that any two of 10**9 different sets or
+texts share a hash.
+
+Results for odd rows: a document without a word is linked with nothing; repeated rows and equal texts are one
+component; a null doc_id never names a component unless it has only nulls; other columns and their names don't
+matter; an empty table gives an empty result. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import fresh, in_parts, saved, slim
+from larkspur.llm.common import eights, fresh, in_parts, mixed, saved, slim
 
 SHINGLE = 5
 #: 9 * intersection >= 4 * (size + size) says the same as 100 * intersection >= 80 * union.
@@ -39,45 +51,41 @@ SHARE, OF = 4, 9
 MOST_COMMON = 1 << 20
 #: Shingles that are counted together before counts leave a task, and the count from which they do.
 COUNTED, LEAST_COUNT = 4_000_000, 2
-#: A worker keeps this many powers for its later texts; more are made for the text that needs them.
-MOST_POWERS = 1 << 21
-#: Candidates in one block of a query.
-BLOCK = 512
-#: Bits of the table that tells which nodes are wanted at all; a join behind it is exact.
+#: Entries of one part of a list, about.
+HOT = 1000
+#: Shingles of the candidates in one block of a query, and in one batch of blocks, about.
+BLOCK, BATCH = 500_000, 2_000_000
+#: Bits of the table that tells which texts are wanted at all; a join behind it is exact.
 WANTED_BITS = 1 << 23
+#: Rows of one key from which it is looked at whether it is a hub, and hubs at most.
+HUB, MOST_HUBS = 100_000, 10_000
 
 _RNG = np.random.default_rng(20_240_607)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x5851F42D4C957F2D)
+_SIZE, _NEXT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+#: Words of more bytes are hashed by blake2b.
+LONG_WORD = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
+def word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the words that stand in flat at these places."""
+    size, eight = end - begin, eights(flat)
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n of the base and of its inverse, modulo 2**64."""
-    made = [] if len(_POWERS[0]) <= n else _POWERS
-    if not made:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            p = np.full(n + 1, base, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                made.append(np.cumprod(p))
-    if n <= MOST_POWERS:
-        _POWERS[:] = made
-    return made[0], made[1]
+        out = size.astype(np.uint64) * _SIZE
+        open_, depth = np.flatnonzero(size <= LONG_WORD), 0
+        while len(open_):
+            left = size[open_] - depth
+            word = eight[begin[open_] + depth].astype(np.uint64)
+            word &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+            out[open_] = mixed(out[open_] * _NEXT ^ word)
+            open_, depth = open_[left > 8], depth + 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(blake2b(flat[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "big")
+    return out
 
 
 def sets(texts) -> list[np.ndarray]:
@@ -91,20 +99,18 @@ def sets(texts) -> list[np.ndarray]:
     at = at - at[0]
     if not len(flat):
         return [np.zeros(0, np.uint64)] * len(texts)
+    flat = _LOWER[flat]
     word = ~_SPACE[flat]
     edge = np.zeros(len(flat) + 1, bool)
     edge[at] = True
     begin = word.copy()
     begin[1:] &= ~word[:-1] | edge[1:-1]
-    end = word.copy()
+    end = word
     end[:-1] &= ~word[1:] | edge[1:-1]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = powers(len(flat))
+    words = word_hashes(flat, s, e)
+    first, out = np.searchsorted(s, at), []
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[flat]] * up[: len(flat)], out=sums[1:])
-        words = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        first, out = np.searchsorted(s, at), []
         many = max(0, len(words) - SHINGLE + 1)
         shingles = np.zeros(many, np.uint64)
         for k in range(SHINGLE):
@@ -128,41 +134,40 @@ def node_of(own: np.ndarray) -> int:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node for each document (kind 0), and counts of shingles that are common within a task (kind 1: node is the shingle, n the count)."""
+    """doc_id, n, node, text_key for each document (kind 0), and counts of shingles that are common within a task (kind 1: node is the shingle, n the count)."""
     import pyarrow as pa
 
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
-    id_type = []
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n", "node", "text_key")]])
 
-    def counted(some: list[np.ndarray]):
+    def counted(some: list[np.ndarray], kind):
         values, n = np.unique(np.concatenate(some), return_counts=True)
         keep = n >= LEAST_COUNT
         values, n = values[keep].astype(np.int64), n[keep]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), id_type[0]), pa.array(n.astype(np.int64)), pa.array(values)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), kind), pa.array(n.astype(np.int64)), pa.array(values), pa.nulls(len(n), pa.int64())], names=schema.names)
 
     def run(batches):
-        some, size, seen = [], 0, set()
+        some, size, seen, kind = [], 0, set(), None
         for batch in in_parts(batches):
-            id_type[:] = [batch.column(0).type]
+            kind = batch.column(0).type
             own = sets(batch.column(1))
             nodes = [node_of(x) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(own), pa.int32()), batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(nodes, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(own), pa.int32()), batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(nodes, pa.int64()), batch.column(2)], names=schema.names)
             for x, node in zip(own, nodes):
                 if len(x) and node not in seen:
                     seen.add(node)
                     some.append(x)
                     size += len(x)
             if size >= COUNTED:
-                yield counted(some)
+                yield counted(some, kind)
                 some, size = [], 0
         if some:
-            yield counted(some)
+            yield counted(some, kind)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
-def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles (at most MOST_COMMON, from a count that all of them reach), sorted, and each one's place in the order."""
+def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most common shingles (at most MOST_COMMON, from a count that all of them reach), sorted, each one's place in the order, and into how many parts its list is dealt."""
     import pyarrow as pa
 
     total = saved(counts.groupBy("node").agg(F.sum("n").alias("n")))
@@ -176,7 +181,7 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["class"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def pack(batches):
         for batch in batches:
@@ -190,150 +195,184 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(len(n), np.int32)
     rank[np.lexsort((values, n))] = np.arange(len(n), dtype=np.int32)
     order = np.argsort(values)
-    return values[order], rank[order]
+    return values[order], rank[order], (-(-n // HOT)).astype(np.int32)[order]
 
 
-def shared_part(own: np.ndarray, values: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n/5 + 1 shingles of a set in the global order: those that are not common by hash, then common ones, the most common last."""
+def shared_part(own: np.ndarray, values: np.ndarray, rank: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n/5 + 1 shingles of a set in the global order (those that are not common by hash, then common ones, the most common last),
+    and into how many parts their lists are dealt."""
     n = len(own)
+    many = np.ones(n, np.int32)
     if len(values):
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
         late = np.flatnonzero(values[at] == own)
         if len(late):
             late = late[np.argsort(rank[at[late]])]
+            many[n - len(late) :] = salts[at[late]]
             own = np.concatenate([np.delete(own, late), own[late]])
-    return own[: n - (4 * n + 4) // 5 + 1]
+    keep = n - (4 * n + 4) // 5 + 1
+    return own[:keep], many[:keep]
 
 
 def index(docs: DataFrame, common) -> DataFrame:
-    """The inverted index: shingle, node, n, pos (the shingle's place in the node's set, in the global order)."""
+    """Entries of the inverted lists: shingle, salt, salts (the part of the list and how many there are), node, n, pos (the shingle's place in the node's set, in the global order)."""
     import pyarrow as pa
 
-    names = ["shingle", "node", "n", "pos"]
+    names = ["shingle", "salt", "salts", "node", "n", "pos"]
 
     def run(batches):
-        values, rank = common.value
+        values, rank, salts = common.value
         seen: set[int] = set()
         for batch in in_parts(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for own in sets(batch.column(0)):
                 if not len(own) or (node := node_of(own)) in seen:
                     continue
                 seen.add(node)
-                part = shared_part(own, values, rank)
-                out[0].append(part.astype(np.int64))
-                out[1].append(np.full(len(part), node, np.int64))
-                out[2].append(np.full(len(part), len(own), np.int32))
-                out[3].append(np.arange(len(part), dtype=np.int32))
+                part, many = shared_part(own, values, rank, salts)
+                for x, y in zip(out, (part.astype(np.int64), (np.int64(node) % many).astype(np.int32), many, np.full(len(part), node, np.int64), np.full(len(part), len(own), np.int32), np.arange(len(part), dtype=np.int32))):
+                    x.append(y)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return docs.select("text").mapInArrow(run, "shingle long, node long, n int, pos int")
-
+    return docs.select("text").mapInArrow(run, "shingle long, salt int, salts int, node long, n int, pos int")
 
-def part_bits(docs: DataFrame, nodes: DataFrame, common) -> DataFrame:
-    """node, bits0 to bits7: which of 512 values the hashes of the node's shared part take. A bit that only one of two nodes has is a shingle that they do not share."""
-    import pyarrow as pa
 
-    wanted = wanted_table(nodes)
+def members_of(shingle, salt, salts, node, n, pos) -> list[np.ndarray] | None:
+    """Of whole parts of lists, the entries that may have a partner, each with the leader of its part: shingle, salt, salts, node, n, pos, close, lead, lead_n, lead_pos.
 
-    def run(batches):
-        values, rank = common.value
-        seen: set[int] = set()
-        for batch in in_parts(batches):
-            found, bits = [], []
-            for own in sets(batch.column(0)):
-                if len(own) and (node := node_of(own)) not in seen and is_wanted(node, wanted.value):
-                    seen.add(node)
-                    found.append(node)
-                    some = np.zeros(512, bool)
-                    some[(mixed(shared_part(own, values, rank)) >> np.uint64(55)).astype(np.int64)] = True
-                    bits.append(np.packbits(some).view(np.int64))
-            if found:
-                table = np.stack(bits)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *[pa.array(table[:, k].copy()) for k in range(8)]], names=["node", *[f"bits{k}" for k in range(8)]])
-
-    return docs.select("text").mapInArrow(run, "node long, " + ", ".join(f"bits{k} long" for k in range(8))).dropDuplicates(["node"])
+    A list is looked through by size: an entry stays if the next larger set is not too large for it, or it is not
+    too large for the next smaller one. close says the same of the bound that the places give (`may_link`), which holds
+    for the first shingle that two sets share. Entries of lists that are dealt in several parts all stay.
+    """
+    order = np.lexsort((node, n, salt, shingle))
+    columns = [x[order] for x in (shingle, salt, salts, node, n.astype(np.int64), pos.astype(np.int64))]
+    again = np.zeros(len(order), bool)
+    again[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1]) & (columns[3][1:] == columns[3][:-1])
+    columns = [x[~again] for x in columns]
+    shingle, salt, salts, node, n, pos = columns
+    new = np.ones(len(node), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
+    part = np.cumsum(new) - 1
+    with_next = ~np.append(new[1:], True)
+    near = np.zeros(len(node), bool)
+    near[:-1] = with_next[:-1] & (SHARE * n[1:] <= (OF - SHARE) * n[:-1])
+    stays = near.copy()
+    stays[1:] |= near[:-1]
+    reach = OF * (n - pos) - SHARE * n
+    close = np.zeros(len(node), bool)
+    close[:-1] = with_next[:-1] & (SHARE * n[1:] <= reach[:-1])
+    if len(node):
+        step = int(n.max()) * OF * 2 + 1
+        most = np.maximum.accumulate(reach + part * step) - part * step  # the largest reach so far in the part: reaches lie within (-step / 2, step / 2)
+        close[1:] |= ~new[1:] & (most[:-1] >= SHARE * n[1:])
+    several = salts > 1
+    keep = np.flatnonzero(stays | several)
+    if not len(keep):
+        return None
+    shingle, salt, salts, node, n, pos, close, part = (x[keep] for x in (shingle, salt, salts, node, n, pos, close | several, part))
+    by_place = np.lexsort((node, pos / n, part))
+    first = np.ones(len(keep), bool)
+    first[1:] = part[by_place][1:] != part[by_place][:-1]
+    lead = np.empty(len(keep), np.int64)
+    lead[by_place] = by_place[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return [shingle, salt, salts, node, n.astype(np.int32), pos.astype(np.int32), close, node[lead], n[lead].astype(np.int32), pos[lead].astype(np.int32)]
 
 
-def may_share(n: str, n2: str, suffix: str):
-    """Whether the bits of two nodes leave room for as many shared shingles in their shared parts as the overlap needs there."""
-    only = lambda a, b: sum((F.bit_count(F.col(f"bits{k}{a}").bitwiseAND(F.bitwise_not(F.col(f"bits{k}{b}")))) for k in range(1, 8)), F.bit_count(F.col(f"bits0{a}").bitwiseAND(F.bitwise_not(F.col(f"bits0{b}")))))
-    rest = lambda c: F.floor((4 * F.col(c) + 4) / 5) - 1
-    common = F.least(F.col(n) - rest(n) - only("", suffix), F.col(n2) - rest(n2) - only(suffix, ""))
-    return OF * (common + F.greatest(rest(n), rest(n2))) >= SHARE * (F.col(n) + F.col(n2))
+def listed(entries: DataFrame) -> DataFrame:
+    """The members of the lists (see `members_of`): one shuffle by shingle and part, in which the lists are sorted."""
+    import pyarrow as pa
 
+    names = ["shingle", "salt", "salts", "node", "n", "pos", "close", "lead", "lead_n", "lead_pos"]
 
-def may_link(n: str, pos: str, n2: str, pos2: str):
-    """Whether two sets that have their first common shingle at these places can have the overlap."""
-    return OF * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= SHARE * (F.col(n) + F.col(n2))
+    def run(batches):
+        def out(columns):
+            if len(columns[0]) and (got := members_of(*columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
 
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                own = [c.to_numpy() for c in batch.columns]
+                held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+                last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+                cut = len(last) - int(last.sum())  # the last list may go on
+                yield from out([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from out(held)
 
-def packed(own: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted 64-bit numbers, six bytes each: two sets of a thousand shingles agree by chance in one with odds of one in 10**8."""
-    return (own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
+    return dealt.mapInArrow(run, "shingle long, salt int, salts int, node long, n int, pos int, close boolean, lead long, lead_n int, lead_pos int")
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def wanted_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """text_key, text of the documents whose hash of the text is one of keys (text_key), and of a few others; each at least once.
 
+    Whether a hash is wanted is looked up in WANTED_BITS bits (a table of fixed size); a join must follow.
+    """
+    import pyarrow as pa
 
-def wanted_table(nodes: DataFrame):
-    """A broadcast table of WANTED_BITS bits (a fixed size) that tells for most unwanted nodes that they are; what it lets through, a join decides."""
-    bit = F.pmod("node", F.lit(WANTED_BITS))
-    words = nodes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
-    table = np.zeros(WANTED_BITS >> 6, np.uint64)
+    bit = F.pmod("text_key", F.lit(WANTED_BITS))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
+    table = np.zeros(WANTED_BITS >> 6, np.int64)
     got = words.toPandas()  # at most WANTED_BITS / 64 rows, whatever the input
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint64)
-    return nodes.sparkSession.sparkContext.broadcast(table)
+    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    bits = docs.sparkSession.createDataFrame(pa.table({"wanted_bits": pa.array([table], pa.list_(pa.int64()))}))
+    hashed = docs.select(F.xxhash64("text").alias("text_key"), "text").crossJoin(F.broadcast(bits))
+    word = F.get("wanted_bits", F.shiftright(bit, 6).cast("int"))
+    rows = hashed.where(F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1)) == 1).select("text_key", "text")
 
+    def once(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keys, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            new = [k for x, k in zip(keys.tolist(), first.tolist()) if x not in seen]
+            seen.update(keys.tolist())
+            if new:
+                yield batch.take(pa.array(sorted(new)))
 
-def is_wanted(node: int, table: np.ndarray) -> int:
-    at = node % WANTED_BITS
-    return int(table[at >> 6]) >> (at & 63) & 1
+    return rows.mapInArrow(once, "text_key long, text string")
 
 
-def sent_sets(docs: DataFrame, send: DataFrame) -> DataFrame:
-    """Of send (node, to: array): node, to, shingles, for each of its nodes. The texts are read again and only wanted sets leave the tasks."""
+def part_bits(docs: DataFrame, wanted: DataFrame, common) -> DataFrame:
+    """Of wanted (node, text_key): node, bits0 to bits7: which of 512 values the hashes of the node's shared part take. A bit that only one of two nodes has is a shingle that they do not share."""
     import pyarrow as pa
 
-    wanted = wanted_table(send)
-
     def run(batches):
-        seen: set[int] = set()
+        values, rank, salts = common.value
         for batch in in_parts(batches):
-            found, shown = [], []
-            for own in sets(batch.column(0)):
-                if len(own) and (node := node_of(own)) not in seen and is_wanted(node, wanted.value):
-                    seen.add(node)
-                    found.append(node)
-                    shown.append(packed(own))
+            found, bits = [], []
+            for own in sets(batch.column(1)):
+                found.append(node_of(own))
+                some = np.zeros(512, bool)
+                some[(mixed(shared_part(own, values, rank, salts)[0]) >> np.uint64(55)).astype(np.int64)] = True
+                bits.append(np.packbits(some).view(np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(shown, pa.binary())], names=["node", "shingles"])
+                table = np.stack(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *[pa.array(table[:, k].copy()) for k in range(8)]], names=["node", *[f"bits{k}" for k in range(8)]])
 
-    rows = docs.select("text").mapInArrow(run, "node long, shingles binary")
-    return rows.join(send, "node").groupBy("node").agg(F.first("to").alias("to"), F.first("shingles").alias("shingles"))
+    return wanted_texts(docs, wanted).mapInArrow(run, "node long, " + ", ".join(f"bits{k} long" for k in range(8))).dropDuplicates(["node"])
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], mu: float = 0.01) -> list[int]:
-    """Which candidates have the overlap with the query; all arrays are sorted."""
-    if not candidates:
-        return []
-    sizes = np.array([len(x) for x in candidates])
-    need = (-(-SHARE * (len(query) + sizes) // OF)).tolist()
-    least = min(need)
-    flat, who = np.concatenate(candidates), np.repeat(np.arange(len(candidates)), sizes)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    at, who = at[hit], who[hit]
-    order = np.argsort(at, kind="stable")
-    at, who = at[order], who[order].tolist()
-    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(who)]
-    lists = sorted((who[a:b] for a, b in zip(cuts, cuts[1:]) if b > a), key=len)
+def may_share(n: str, n2: str, suffix: str) -> Column:
+    """Whether the bits of two nodes leave room for as many shared shingles in their shared parts as the overlap needs there."""
+    only = lambda a, b: sum((F.bit_count(F.col(f"bits{k}{a}").bitwiseAND(F.bitwise_not(F.col(f"bits{k}{b}")))) for k in range(1, 8)), F.bit_count(F.col(f"bits0{a}").bitwiseAND(F.bitwise_not(F.col(f"bits0{b}")))))
+    rest = lambda c: F.floor((4 * F.col(c) + 4) / 5) - 1
+    common = F.least(F.col(n) - rest(n) - only("", suffix), F.col(n2) - rest(n2) - only(suffix, ""))
+    return OF * (common + F.greatest(rest(n), rest(n2))) >= SHARE * (F.col(n) + F.col(n2))
+
+
+def may_link(n: str, pos: str, n2: str, pos2: str) -> Column:
+    """Whether two sets that have their first common shingle at these places can have the overlap."""
+    return OF * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= SHARE * (F.col(n) + F.col(n2))
+
+
+def divide_skip(lists: list[list[int]], need: list[int], least: int, mu: float = 0.01) -> list[int]:
+    """Which ids occur in as many of the lists as each one needs (need[id], never below least); lists are sorted."""
     if len(lists) < least:
         return []
+    lists = sorted(lists, key=len)
     many = max(0, min(least - 1, int(least / (mu * np.log2(max(2, len(lists[-1]))) + 1))))
     short, long = lists[: len(lists) - many], lists[len(lists) - many :][::-1]
     enough = least - many
@@ -369,50 +408,96 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], mu: float = 0.0
     return found
 
 
-def search(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (query, node), those that link, by T-occurrence search for each query over its candidates, in blocks."""
+class Lists:
+    """Inverted lists over the whole sets of a batch of candidates."""
+
+    def __init__(self, candidates: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in candidates])
+        flat = np.concatenate(candidates)
+        order = np.argsort(flat, kind="stable")
+        self.values, self.ids = flat[order], np.repeat(np.arange(len(candidates)), self.sizes)[order]
+
+    def search(self, own: np.ndarray, mu: float = 0.01) -> list[int]:
+        """The candidates that have the overlap with this set, by T-occurrence search."""
+        a, b = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
+        lists = [self.ids[x:y].tolist() for x, y in zip(a.tolist(), b.tolist()) if y > x]
+        # a set of under 4/5 of the size has not enough shingles, so at least 4/5 must be shared
+        return divide_skip(lists, (-(-SHARE * (len(own) + self.sizes) // OF)).tolist(), -(-SHARE * len(own) // (OF - SHARE)), mu)
+
+
+def search(docs: DataFrame, pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of pairs (query, node, n of the node), those that link (and other links that come up): a, b. keys: node, text_key.
+
+    The candidates of a query are dealt in blocks of about BLOCK shingles; query and candidates meet as texts.
+    """
     import pyarrow as pa
 
-    blocks = pairs.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = blocks.select(F.col("query").alias("node"), "query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
-    offered = pairs.join(blocks, "query").select("node", "query", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
-    send = saved(asked.unionByName(offered).groupBy("node").agg(F.collect_list(F.struct("query", "block", "role")).alias("to")))
-    rows = sent_sets(docs, send).select("node", "shingles", F.explode("to").alias("to")).select("to.query", "to.block", "to.role", "node", "shingles")
+    blocks = pairs.groupBy("query").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    asked = blocks.select(F.col("query").alias("node"), "query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(1000))).alias("block"), "blocks", F.lit(0).alias("role"))
+    asked = asked.select("node", "query", "block", F.least(F.col("block") + 1000, "blocks").alias("upto"), "role")
+    offered = pairs.join(blocks, "query").select("node", "query", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("upto"), F.lit(1).alias("role"))
+    send = saved(asked.unionByName(offered).join(keys, "node"))
+    texts = wanted_texts(docs, send).groupBy("text_key").agg(F.first("text").alias("text"))
+    rows = texts.join(send, "text_key").select("query", "block", "upto", "role", "node", "text")
+    if send.where("upto - block > 1").take(1):  # a query of very many blocks goes out a thousand blocks at a time
+        far = rows.where("upto - block > 1").repartition("query", "block").select("query", F.explode(F.sequence("block", F.col("upto") - 1)).alias("block"), "upto", "role", "node", "text")
+        rows = rows.where("upto - block <= 1").unionByName(far)
+    rows = rows.select("query", "block", "role", "node", "text")
     rows = rows.repartition("query", "block").sortWithinPartitions("query", "block", "role", "node")
 
-    def links(query, own, nodes, candidates):
-        return [(query, nodes[k]) for k in divide_skip(own, candidates)]
-
     def run(batches):
-        key, own, nodes, candidates = None, None, [], []
+        queries: list[tuple[int, np.ndarray]] = []
+        nodes: list[int] = []
+        candidates: list[np.ndarray] = []
+        key, size = None, 0
+
+        def found():
+            if not candidates:
+                return
+            lists = Lists(candidates)
+            out = [(q, nodes[k]) for q, own in queries for k in lists.search(own) if nodes[k] != q]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in in_parts(batches):
-            out = []
-            for q, block, role, node, shingles in zip(*[c.to_pylist() for c in batch.columns]):
-                if (q, block) != key:
-                    if key is not None:
-                        out += links(key[0], own, nodes, candidates)
-                    key, own, nodes, candidates = (q, block), None, [], []
-                got = unpacked(shingles)
+            own = sets(batch.column(4))
+            for q, block, role, node, x in zip(*[batch.column(k).to_pylist() for k in range(4)], own):
+                if (q, block) != key and size > BATCH:
+                    yield from found()
+                    queries, nodes, candidates, size = [], [], [], 0
+                key = (q, block)
+                if node_of(x) != node:
+                    continue
                 if role == 0:
-                    own = got
-                elif own is not None:
+                    queries.append((q, x))
+                else:
                     nodes.append(node)
-                    candidates.append(got)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        if key is not None and (out := links(key[0], own, nodes, candidates)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    candidates.append(x)
+                size += len(x)
+        yield from found()
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def with_hubs(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has each key once. Keys that stand in very many rows are joined by a broadcast of their rows of the
+    table: there are at most MOST_HUBS of them, as each has over a MOST_HUBS-th of all rows."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("hub_rows"))
+    seen = counts.agg(F.max("hub_rows").alias("most"), F.sum("hub_rows").alias("rows")).first()
+    if (seen["most"] or 0) < HUB:
+        return rows.join(table, key, how)
+    hubs = saved(counts.where(F.col("hub_rows") >= max(HUB, seen["rows"] // MOST_HUBS + 1)).select(key))
+    rest = rows.join(F.broadcast(hubs), key, "left_anti").join(table, key, how)
+    return rest.unionByName(rows.join(F.broadcast(hubs), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hubs), key, "left_semi")), key, how))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node that has a link: rounds of large star and small star until nothing changes."""
     edges, before = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = with_hubs(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
@@ -423,93 +508,82 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def listed(entries: DataFrame) -> DataFrame:
-    """Of each list of the index, the entries that have a possible partner there, apart from the list's leader: shingle, node, n, pos, close, the same of the lead.
-
-    A list is looked through by size: an entry stays if the next larger set is not too large for it, or it is not
-    too large for a smaller one. close says the same of the bound that the places give (`may_link`), which holds for
-    the first shingle that two sets share. All this is sorting within the one shuffle by shingle.
-    """
-    by_size = Window.partitionBy("shingle").orderBy("n", "node")
-    smaller = by_size.rowsBetween(Window.unboundedPreceding, -1)
-    in_list = Window.partitionBy("shingle").orderBy(F.col("pos") / F.col("n"), "node")
-    rows = entries.withColumn("before", F.lag("node").over(by_size)).where("not (before <=> node)").drop("before")
-    # the largest partner: by size alone, and by what lies behind the place
-    rows = rows.withColumns({"most": F.col("n") * (OF - SHARE), "reach": OF * (F.col("n") - F.col("pos")) - SHARE * F.col("n")})
-
-    def partner(bound: str):
-        return F.coalesce(SHARE * F.lead("n").over(by_size) <= F.col(bound), F.lit(False)) | F.coalesce(F.max(bound).over(smaller) >= SHARE * F.col("n"), F.lit(False))
-
-    rows = rows.withColumns({"stays": partner("most"), "close": partner("reach")}).where("stays").drop("most", "reach", "stays")
-    rows = rows.withColumn("lead", F.first(F.struct("n", "node", "pos", "close")).over(in_list)).where("node != lead.node")
-    return rows.select("shingle", "node", "n", "pos", "close", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"), F.col("lead.close").alias("lead_close"))
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of all documents, and (node, component) of the nodes that link with another."""
+    """(doc_id, n, node, text_key) of all documents, and (node, component) of the nodes that link with another."""
     docs = slim(docs, "doc_id", "text")
     first = saved(first_pass(docs))
+    documents = first.where("kind = 0").drop("kind")
+    keys = documents.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(first.where("kind = 1")))
-    members = listed(index(docs, common))
-    members = saved(members)
+    members = saved(listed(index(docs, common)))
     # what the rest of two sets can have in common behind the shared part of the index bounds the overlap
     larger = F.greatest("n", "lead_n")
-    stars = members.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"), F.max(may_link("n", "pos", "lead_n", "lead_pos")).alias("may"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
+    stars = members.where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"), F.max(may_link("n", "pos", "lead_n", "lead_pos")).alias("may"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
     reach = F.col("many") + larger - (larger - F.floor((4 * larger + 4) / 5) + 1)
     stars = stars.where(F.col("may") & (OF * reach >= SHARE * (F.col("n") + F.col("lead_n"))))
-    best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query")))
-    links = saved(search(docs, best))
+    best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query"), F.first("n").alias("n")))
+    links = saved(search(docs, best, keys))
     of = saved(components(links))
-    # lists whose members still lie apart: those that are not with the leader against all, in either order of size
+    # lists whose members still lie apart: those that are not in the list's most frequent component against all
     # (an entry that is not close has no partner for which this list holds the first shingle in common)
-    rows = members.where("close").select("shingle", "node", "n", "pos", "lead").unionByName(members.where("lead_close").select("shingle", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"), "lead").distinct())
-    rows = rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.join(of.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")), "lead", "left").withColumn("lead_component", F.coalesce("lead_component", "lead"))
-    rows = saved(rows.select("shingle", "node", "n", "pos", "component", (F.col("component") != F.col("lead_component")).alias("apart")))
-    mixed_lists = rows.where("apart").select("shingle").distinct()
-    rows = rows.join(mixed_lists, "shingle", "left_semi")
-    bits = saved(part_bits(docs, rows.select("node").distinct(), common))
-    rows = rows.join(bits, "node")
-    apart = rows.where("apart").drop("apart").withColumnsRenamed({c: f"{c}2" for c in ("n", "pos", "component", *[f"bits{k}" for k in range(8)])}).withColumnRenamed("node", "query")
-    rest = apart.join(rows, "shingle").where((F.col("component") != F.col("component2")) & may_link("n", "pos", "n2", "pos2") & may_share("n", "n2", "2"))
-    rest = rest.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")).distinct().join(best.select("node", F.col("query").alias("known")), "node", "left")
-    rest = saved(rest.where("not (query <=> known)").select("query", "node"))
-    # of two nodes, the one with more pairs is the query, so that few sets are sent often
+    rows = members.where("close").select("shingle", "salt", "salts", "node", "n", "pos").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = saved(rows)
+    lists = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("many"), F.max("salts").alias("salts"))
+    lists = lists.groupBy("shingle").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("components"), F.max("salts").alias("salts")).where("components > 1")
+    rows = rows.drop("salts").join(lists.select("shingle", "main", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["shingle", "salt"])
+    rows = saved(rows)
+    bits = part_bits(docs, rows.select("node").distinct().join(keys, "node"), common)
+    rows = saved(rows.join(bits, "node"))
+    twos = ("n", "pos", "component", *[f"bits{k}" for k in range(8)])
+    apart = rows.where("component != main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("query"), *[F.col(c).alias(f"{c}2") for c in twos])
+    rest = apart.join(rows.drop("main", "salts"), ["shingle", "salt"]).where((F.col("component") != F.col("component2")) & may_link("n", "pos", "n2", "pos2") & may_share("n", "n2", "2"))
+    turn = F.col("query") < F.col("node")
+    pick = lambda a, b: F.when(turn, F.col(a)).otherwise(F.col(b))
+    rest = rest.select(pick("query", "node").alias("query"), pick("node", "query").alias("node"), pick("n2", "n").alias("query_n"), pick("n", "n2").alias("n")).distinct()
+    known = best.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node"))
+    rest = saved(rest.join(known, ["query", "node"], "left_anti"))
+    # of two nodes, the one with more pairs is the query, so that few texts are sent often
     ends = rest.select(F.explode(F.array("query", "node")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("pairs"))
     for end in ("query", "node"):
         rest = rest.join(ends.withColumnsRenamed({"end": end, "pairs": f"{end}_pairs"}), end)
     turn = F.col("query_pairs") >= F.col("node_pairs")
-    rest = rest.select(F.when(turn, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(turn, F.col("node")).otherwise(F.col("query")).alias("node"))
-    more = search(docs, rest)
-    return first.where("kind = 0").select("doc_id", "n", "node"), components(links.unionByName(more))
+    rest = rest.select(F.when(turn, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(turn, F.col("node")).otherwise(F.col("query")).alias("node"), F.when(turn, F.col("n")).otherwise(F.col("query_n")).alias("n"))
+    more = search(docs, rest, keys)
+    return documents, components(links.unionByName(more))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node, text_key) of all documents, and (node, component) of all nodes with a shingle."""
+    rows, of = classes(docs)
+    nodes = rows.where("n > 0").select("node").distinct().join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows, saved(nodes)
 
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    rows, of = classes(docs)
-    full = rows.where("n > 0").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows, nodes = grouped(docs)
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = with_hubs(nodes, nodes.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    out = with_hubs(rows.where("n > 0"), saved(named), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; documents without a word all stay."""
-    import pyarrow as pa
+    """docs with one document of each component, the one with the smallest doc_id; documents without a word all stay.
 
-    rows, of = classes(docs)
-    full = rows.where("n > 0").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
-    key, size, hit, nth = fresh(docs, "dedupe_node", "dedupe_n", "dedupe_hit", "dedupe_nth")
-    text_at, names = docs.columns.index("text"), docs.columns
-
-    def run(batches):
-        for batch in in_parts(batches):
-            own = sets(batch.column(text_at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())], names=[*names, key, size])
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType()), T.StructField(size, T.LongType())]))
-    marked = marked.withColumn(key, F.xxhash64(key, F.col("`doc_id`"), size))
-    keep = keep.join(rows.groupBy("node").agg(F.first("n").alias("n")), "node").select(F.xxhash64("node", "doc_id", "n").alias(key), F.lit(True).alias(hit))
-    marked = marked.join(keep, key, "left").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    return marked.where((F.col(size) == 0) | (F.col(hit) & (F.col(nth) == 1))).select(*[F.col(f"`{c}`") for c in names])
+    Rows and the small table of those that stay meet by a hash of the text and the id.
+    """
+    rows, nodes = grouped(docs)
+    copies = rows.where("n > 0").groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    first = copies.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "text_key", "copies")).alias("x"))
+    keep = saved(nodes.join(first, "node").groupBy("component").agg(F.min("x").alias("x")).select("x.*"))
+    key, one, id_, copies = fresh(docs, "dedupe_key", "dedupe_text_key", "dedupe_id", "dedupe_copies")
+    keep = keep.select(F.col("text_key").alias(one), F.col("doc_id").alias(id_), F.col("copies").alias(copies))
+    worded = F.coalesce(F.col("`text`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    full = docs.where(worded).withColumn(key, F.xxhash64(F.col("`text`")))
+    full = full.join(keep, (F.col(key) == F.col(one)) & F.col("`doc_id`").eqNullSafe(F.col(id_)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = full.where(F.col(copies) == 1).select(*own)
+    if keep.where(F.col(copies) > 1).take(1):  # rows that repeat id and text: one of them stays
+        out = out.unionByName(full.where(F.col(copies) > 1).dropDuplicates([key, id_]).select(*own))
+    return out.unionByName(docs.where(~worded))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import in_parts, mixed, partitions, saved, slim
+from larkspur.llm.common import eights, in_parts, mixed, partitions, saved, slim
 
 LENGTH, GRAM = 100, 32
 #: Suffixes that one task sorts, about.
@@ -51,11 +51,6 @@ _ODD = np.random.default_rng(77).integers(1, 1 << 63, GRAM // 8, dtype=np.uint64
 _LEADING = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
 
 
-def eights(flat: np.ndarray) -> np.ndarray:
-    """At each place, and at the end, the eight bytes from there on as one number, the first byte highest; zeros stand behind the end."""
-    return np.ndarray((len(flat) + 1,), ">u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
-
-
 def repeats_before(flat: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, a: np.ndarray, run: np.ndarray) -> np.ndarray:
     """Which anchors have only windows that are equal to those as far before them as the anchor before."""
     step = np.diff(a, prepend=a[:1])

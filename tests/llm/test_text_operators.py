@@ -184,7 +184,42 @@ def test_divide_skip_finds_what_counting_finds():
         c = [np.array(sorted(rnd.sample(range(80), rnd.randint(1, 40)) if rnd.random() < 0.5 else set(q.tolist()) - {rnd.choice(q.tolist())} or {1}), np.uint64) for _ in range(rnd.randint(1, 12))]
         want = [k for k, x in enumerate(c) if 9 * len(set(q.tolist()) & set(x.tolist())) >= 4 * (len(q) + len(x))]
         for mu in (0.01, 1.0):
-            assert sorted(jaccard_join.divide_skip(q, c, mu)) == want
+            assert sorted(jaccard_join.Lists(c).search(q, mu)) == want
+
+
+def thue_morse(n, a, b):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join((a, b)[x] for x in out)
+
+
+def test_words_that_polynomial_hashes_confuse_are_kept_apart(spark):
+    rows = [(k, thue_morse(n, *ab)) for k, (n, ab) in enumerate([(n, ab) for n in (64, 1024, 2048, 4096) for ab in ("ab", "ba")])]
+    rows += [(100, "a\x00"), (101, "a"), (102, "\x00a"), (103, "12345678"), (104, "123456789"), (105, "123456780")]
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i]["component_id"] == i for i, _ in rows)
+
+
+def test_lists_in_parts_hubs_and_blocks_give_the_same_components(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = prose(rnd, 80).split(" ")
+    more = [" ".join(x if rnd.random() > 0.015 else f"new{rnd.randint(0, 99)}" for x in base) for _ in range(60)] + [" ".join(base)] * 40 + [prose(rnd, 30) + " " + " ".join(base[:20]) for _ in range(30)]
+    for name, value in (("HOT", 5), ("BLOCK", 300), ("BATCH", 1000), ("HUB", 3), ("MOST_HUBS", 20), ("WANTED_BITS", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = by_id(jaccard_join.join(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").repartition(3)))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(more))] == plain_components(more)
+
+
+def test_null_repeated_and_text_ids_of_near_duplicates(spark, texts):
+    t = texts[-5]
+    rows = [(None, t), ("b", t), ("b", t), ("a", t + " tail"), (None, None), (None, ""), ("z", "lone words of some other text")]
+    got = sorted(map(tuple, jaccard_join.join(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(None, "a"), ("b", "a"), ("b", "a"), ("a", "a"), (None, None), (None, None), ("z", "z")], key=str)
+    kept = jaccard_join.dedupe(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[3], rows[4], rows[5], rows[6]], key=str)
+    kept = jaccard_join.dedupe(spark.createDataFrame([(1, t), (1, t), (1, t + " tail")], "doc_id long, text string")).collect()
+    assert len(kept) == 1
 
 
 def test_quality_counts(docs, texts, empty):
