@@ -2,119 +2,122 @@
 
 Words are hashed; a run of INNER words is an inner hash, a run of K words is an anchor if the least of its
 inner hashes stands at its first or last place. Whether a run is an anchor depends on that run alone, so
-equal passages have equal anchors wherever they stand. A fingerprint is the SKETCH least distinct anchor
-hashes of the whole text, in order, as hexadecimal; likeness of two fingerprints is the share of common
-values among the least SKETCH of both together, which estimates the Jaccard likeness of their anchors (and
-is exact where both have fewer).
+equal passages have equal anchors wherever they stand. A fingerprint is every anchor of the whole text, in the
+order of the text (so that places can be matched, see `anchors`), as 31-bit hashes with points between; the
+likeness of two fingerprints is the Jaccard likeness of their sets of anchors, computed in full.
 
 Results for odd rows: a text without an anchor (short ones) has the hash of all its words as its only one;
 null counts as empty, and a text without a word has an empty fingerprint; two empty ones are alike (1), an
-empty and a full one are not (0); null ids come last in the order of documents; equal ids are ordered by a
-hash of their texts; a single document is its own next one.
+empty and a full one are not (0); ids may be of any type that has an order; null ids come last in the order of
+documents; equal ids are ordered by a hash of their texts; a single document is its own next one; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slim, words_of
+from larkspur.llm.common import partitions, saved, slim, words_of
+
+K, INNER = 8, 2
+#: Documents that stand in order within one bucket, about.
+BUCKET = 1024
+#: Bounds of buckets, which are broadcast, at most; beyond that, buckets grow with the documents.
+MOST_BUCKETS = 1 << 18
 
-K, INNER, SKETCH = 6, 2, 128
-#: Documents that stand in order within one task.
-BUCKET = 4096
-#: Bounds of buckets that the driver computes at most; beyond that, buckets grow.
-MOST_BUCKETS = 1 << 14
 
+def later(column: str, by: int) -> Column:
+    """An array without its first elements."""
+    return F.slice(F.col(column), F.lit(by + 1), F.greatest(F.size(column) - by, F.lit(0)))
 
-def positions(n: Column) -> Column:
-    return F.sequence(F.lit(1), n)
 
+def with_hashes(df: DataFrame, text: str, words: str, inner: str) -> DataFrame:
+    """df with the hashes of the words of a text column, and of each run of INNER (two) words, in two array columns."""
+    df = df.withColumn(words, F.transform(words_of(F.col(text)), lambda x: F.xxhash64(x)))
+    return df.withColumn(inner, F.zip_with(F.col(words), later(words, INNER - 1), lambda a, b: F.xxhash64(a, b)))
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the sketch of a text column: an ordered array of integers."""
-    w, h, inner = f"{out}__w", f"{out}__h", f"{out}__i"
-    df = df.withColumn(w, words_of(F.col(text)))
-    df = df.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x))).drop(w)
-    n = F.size(h)
-    df = df.withColumn(inner, F.when(n >= K, F.transform(positions(n - (INNER - 1)), lambda i: F.xxhash64(F.slice(F.col(h), i, INNER)))))
+
+def runs(words: str, inner: str, found) -> Column:
+    """found(hash, place) for each anchor, in order. Every run of K words is looked at through its K - 1 inner hashes, side by side."""
     wide = K - INNER + 1
-    least = lambda i: F.array_min(F.slice(F.col(inner), i, wide)) == F.least(F.get(F.col(inner), i - 1), F.get(F.col(inner), i + (wide - 2)))
-    places = F.when(n >= K, F.filter(positions(n - (K - 1)), least))
-    anchors = F.transform(places, lambda i: short(F.xxhash64(F.slice(F.col(h), i, K))))
-    whole = F.when(n > 0, F.array(short(F.xxhash64(F.col(h))))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(out, F.slice(F.sort_array(F.array_distinct(anchors)), 1, SKETCH))
-    return df.withColumn(out, F.when(F.coalesce(F.size(F.col(out)), F.lit(0)) > 0, F.col(out)).otherwise(whole)).drop(h, inner)
+    names = [f"i{k}" for k in range(wide)]
+    zipped = F.arrays_zip(*[later(inner, k).alias(n) for k, n in enumerate(names)])
+
+    def look(x: Column, i: Column) -> Column:
+        at_edge = F.least(x[names[0]], x[names[-1]]) <= F.least(*[x[n] for n in names[1:-1]])
+        return F.when(at_edge, found(short(F.xxhash64(*[x[n] for n in names[::INNER]])), i))
+
+    return F.array_compact(F.slice(F.transform(zipped, look), F.lit(1), F.greatest(F.size(words) - (K - 1), F.lit(0))))
 
 
 def short(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the anchors of a text column, in order: an array of integers."""
+    words, inner = f"{out}__w", f"{out}__i"
+    df = with_hashes(df, text, words, inner).withColumn(out, runs(words, inner, lambda h, i: h))
+    whole = F.when(F.size(words) > 0, F.array(short(F.xxhash64(words)))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(words, inner)
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """Every anchor with its place, for positional matching: doc_id, position (in words, from 0), anchor."""
-    df = slim(docs, "doc_id", "text").withColumn("h", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)))
-    wide, n = K - INNER + 1, F.size("h")
-    df = df.where(n >= K).withColumn("inner", F.transform(positions(n - (INNER - 1)), lambda i: F.xxhash64(F.slice(F.col("h"), i, INNER))))
-    at = F.filter(positions(n - (K - 1)), lambda i: F.array_min(F.slice(F.col("inner"), i, wide)) == F.least(F.get(F.col("inner"), i - 1), F.get(F.col("inner"), i + (wide - 2))))
-    return df.select("doc_id", F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("position"), short(F.xxhash64(F.slice(F.col("h"), i, K))).alias("anchor")))).alias("x")).select("doc_id", "x.*")
+    """Every anchor with its place, for positional matching: doc_id, position (in words, from 0), anchor. Texts of under K words have none."""
+    df = with_hashes(slim(docs, "doc_id", "text"), "text", "w", "i")
+    found = runs("w", "i", lambda h, i: F.struct(i.alias("position"), h.alias("anchor")))
+    return df.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
 
 
-def shown(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def shown(found: Column) -> Column:
+    return F.array_join(found.cast("array<string>"), ".")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Of two sketch columns, 0 to 1."""
-    both = F.slice(F.sort_array(F.array_union(F.col(a), F.col(b))), 1, SKETCH)
-    last = F.array_max(both)
-    common = F.size(F.filter(F.array_intersect(F.col(a), F.col(b)), lambda x: x <= last))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common.cast("double") / F.greatest(F.size(both), F.lit(1)))
+    """Of two columns of anchors, 0 to 1: the share of their distinct anchors that both have."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.greatest(both, F.lit(1)))
 
 
-def bucket_of(doc_id: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are not above doc_id, by binary search; null ids count as below all."""
-    if not bounds:
-        return F.lit(0)
-    size = 1 << max(1, math.ceil(math.log2(len(bounds) + 1)))
-    table = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= doc_id, at + step).otherwise(at))
-    return F.coalesce(found, F.lit(0))
+def bucketed(df: DataFrame, bounds: DataFrame, most: int) -> DataFrame:
+    """df (with a column place) with bucket: how many of the sorted bounds (one row, broadcast) are not above place, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col("bounds"), at + step - 1) <= F.col("place"), at + step).otherwise(at))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("bucket", found).drop("bounds")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the document with its last floor(n/2) characters replaced by the first as many of
-    the next document in descending order of doc_id. Documents are dealt once, by ranges of doc_id with
-    about BUCKET documents each; within a range the next document is the row that follows, and the last
-    row of a range takes the first row of the next range (one small row for each range).
+    the next document in descending order of doc_id. Texts are dealt once, by ranges of that order with about
+    BUCKET documents each; in each range the topmost document of the range below stands as a guest after the
+    last, so that the next document is the row that follows. Bounds of ranges and their topmost places are found
+    in a small table of ids and hashes of texts.
     """
     df = slim(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = df.count()
-    n = min(MOST_BUCKETS, max(1, rows // BUCKET))
-    bounds = df.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else []
-    df = df.withColumn("bucket", bucket_of(F.col("doc_id"), sorted(set(bounds or []))))
-    dealt = df.repartition("bucket").withColumn("tie", F.xxhash64("text"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
-    df = with_sketch(dealt, "text", "sketch").withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order), "follows": F.lead(F.lit(True)).over(order)})
-    firsts = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.col("tie").cast("decimal(20,0)"))).alias("first_text"))
-    firsts = with_sketch(firsts, "first_text", "first_sketch")
-    # one row for each range: the first row of the range that comes after it, the topmost after the last
-    ranges = firsts.groupBy().agg(F.sort_array(F.collect_list("bucket")).alias("all")).select(F.explode(F.transform("all", lambda b, i: F.struct(b.alias("bucket"), F.coalesce(F.get("all", i - 1), F.element_at("all", -1)).alias("then")))).alias("x")).select("x.*")
-    handed = ranges.join(firsts.withColumnRenamed("bucket", "then"), "then").drop("then")
-    df = df.join(handed, "bucket").withColumns({
-        "next_text": F.when(F.col("follows"), F.col("next_text")).otherwise(F.col("first_text")),
-        "next_sketch": F.when(F.col("follows"), F.col("next_sketch")).otherwise(F.col("first_sketch")),
-    }).drop("first_text", "first_sketch")
+    # ascending places are descending in the order of documents: null ids first, hashes of texts turned round
+    df = df.withColumn("place", F.struct("doc_id", F.bitwise_not(F.xxhash64("text")).alias("tie")))
+    places = saved(df.select("place"))
+    n = min(MOST_BUCKETS, max(1, places.count() // BUCKET))
+    lowest = places.repartitionByRange(n, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place"))
+    bounds = saved(lowest.agg(F.sort_array(F.collect_list("place")).alias("bounds")))  # one row of n places at most
+    tops = bucketed(places, bounds, n).groupBy("bucket").agg(F.max("place").alias("top"))
+    tops = tops.agg(F.sort_array(F.collect_list(F.struct("bucket", "top"))).alias("all"))  # n rows at most
+    below = F.transform("all", lambda x, i: F.struct(x["bucket"].alias("host"), F.coalesce(F.get("all", i - 1), F.element_at("all", -1))["top"].alias("then")))
+    handed = saved(tops.select(F.explode(below).alias("x")).select("x.*"))
+    met = (F.col("place.tie") == F.col("then.tie")) & F.col("place.doc_id").eqNullSafe(F.col("then.doc_id"))
+    guests = df.join(F.broadcast(handed), met).dropDuplicates(["host"]).select("doc_id", "text", "place", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    rows = bucketed(df, bounds, n).select("doc_id", "text", "place", "bucket", F.lit(False).alias("guest")).unionByName(guests)
+    rows = rows.repartitionByRange(max(partitions(docs.sparkSession), n // 4), "bucket")
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("place"))
+    df = with_anchors(rows, "text", "own").withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)}).where("NOT guest")
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     df = df.withColumns({"n_chars": chars.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half))}).drop("text", "next_text")
-    df = with_sketch(df, "edited", "edited_sketch")
+    df = with_anchors(df, "edited", "edited_own")
     return df.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("sketch")).alias("fingerprint"), shown(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("edited_own")).alias("edited_fingerprint"),
+        likeness("own", "edited_own").alias("near_edited"), likeness("own", "next_own").alias("near_next"),
     )

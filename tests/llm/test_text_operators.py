@@ -304,20 +304,59 @@ def test_repeats_are_those_of_all_windows(spark, docs, texts, empty, monkeypatch
     assert suffix_dedup.dedupe(empty).count() == 0
 
 
-def test_fingerprints(spark, docs, texts, empty, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET", 7)
+def plain_anchors(text):
+    """Spark's xxhash64 of a string or of numbers, chained by seeds, from 42."""
+    import struct
+
+    import xxhash
+
+    def chained(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+            seed = seed - (1 << 64) if seed >> 63 else seed
+            seed &= (1 << 64) - 1
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in WORD.findall(text or "")]
+    inner = [chained(h[i : i + 2]) for i in range(len(h) - 1)]
+    out = []
+    for i in range(len(h) - 7):
+        x = inner[i : i + 7]
+        if min(x) in (x[0], x[6]):
+            out.append(chained(x[::2]) & 0x7FFFFFFF)
+    return out or ([chained(h) & 0x7FFFFFFF] if h else [])
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("bucket", [7, 1024])
+def test_fingerprints_are_those_of_plain_syncmers(spark, docs, texts, empty, monkeypatch, bucket):
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
     got = by_id(fingerprints.fingerprint(docs))
     order = sorted(range(len(texts)), reverse=True)
     for k, i in enumerate(order):
         t, nxt = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
-        half = len(t) // 2
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-    prints = {}
-    for i, t in enumerate(texts):
-        prints.setdefault(t or "", set()).add(got[i]["fingerprint"])
-    assert all(len(v) == 1 for v in prints.values())
-    same = next(i for i in range(len(texts) - 1) if texts[i] and len(texts[i]) > 200 and texts[i] == texts[i + 1])
-    assert got[same + 1]["near_next"] == 1.0 and got[same]["near_edited"] > 0.15
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own, other, then = plain_anchors(t), plain_anchors(edited), plain_anchors(nxt)
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == ".".join(map(str, own)) and r["edited_fingerprint"] == ".".join(map(str, other))
+        assert math.isclose(r["near_edited"], jaccard(own, other)) and math.isclose(r["near_next"], jaccard(own, then))
     assert fingerprints.fingerprint(empty).count() == 0
-    assert fingerprints.anchors(docs).where("doc_id = 10").count() > 10
+    assert [r["anchor"] for r in fingerprints.anchors(docs).where("doc_id = 10").orderBy("position").collect()] == plain_anchors(texts[10])
+
+
+def test_fingerprints_of_null_equal_and_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET", 1)
+    t = [" ".join(f"w{i}{j}" for j in range(20)) for i in range(5)]
+    rows = [(None, t[0]), (None, t[1]), ("a", t[2]), ("a", t[2]), ("b", t[3]), ("b", None), (None, None)]
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    assert sum(r["near_next"] == 1.0 for r in got) == 1  # one of the equal rows comes before the other
+    one = fingerprints.fingerprint(spark.createDataFrame([(1, t[0])], "doc_id long, text string")).collect()
+    assert one[0]["near_next"] == 1.0
