@@ -80,9 +80,9 @@ def likeness(a: str, b: str) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.greatest(both, F.lit(1)))
 
 
-def bucketed(df: DataFrame, bounds: DataFrame, most: int) -> DataFrame:
+def bucketed(df: DataFrame, bounds: DataFrame) -> DataFrame:
     """df (with a column place) with bucket: how many of the sorted bounds (one row, broadcast) are not above place, by binary search."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_BUCKETS.bit_length()))])
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col("bounds"), at + step - 1) <= F.col("place"), at + step).otherwise(at))
     return df.crossJoin(F.broadcast(bounds)).withColumn("bucket", found).drop("bounds")
 
@@ -103,13 +103,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     n = min(MOST_BUCKETS, max(1, places.count() // BUCKET))
     lowest = places.repartitionByRange(n, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place"))
     bounds = saved(lowest.agg(F.sort_array(F.collect_list("place")).alias("bounds")))  # one row of n places at most
-    tops = bucketed(places, bounds, n).groupBy("bucket").agg(F.max("place").alias("top"))
+    tops = bucketed(places, bounds).groupBy("bucket").agg(F.max("place").alias("top"))
     tops = tops.agg(F.sort_array(F.collect_list(F.struct("bucket", "top"))).alias("all"))  # n rows at most
     below = F.transform("all", lambda x, i: F.struct(x["bucket"].alias("host"), F.coalesce(F.get("all", i - 1), F.element_at("all", -1))["top"].alias("then")))
     handed = saved(tops.select(F.explode(below).alias("x")).select("x.*"))
     met = (F.col("place.tie") == F.col("then.tie")) & F.col("place.doc_id").eqNullSafe(F.col("then.doc_id"))
     guests = df.join(F.broadcast(handed), met).dropDuplicates(["host"]).select("doc_id", "text", "place", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
-    rows = bucketed(df, bounds, n).select("doc_id", "text", "place", "bucket", F.lit(False).alias("guest")).unionByName(guests)
+    rows = bucketed(df, bounds).select("doc_id", "text", "place", "bucket", F.lit(False).alias("guest")).unionByName(guests)
     rows = rows.repartitionByRange(max(partitions(docs.sparkSession), n // 4), "bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("place"))
     df = with_anchors(rows, "text", "own").withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)}).where("NOT guest")
