@@ -8,11 +8,12 @@ has none), held as 64-bit hashes; two documents link when 100 * intersection >=
 2. A second pass gives each node the part of its set that any partner must share with it (the first n/5 + 1
    shingles in one global order, common ones last) to inverted lists, dealt by shingle; the lists of common
    shingles are dealt in salted parts of about HOT entries. In each part the node that has the shingle earliest
-   is the leader; what leaves the lists are pairs (leader, member), never all pairs of a list.
+   is the leader, and of the leaders of a list's parts the first; what leaves the lists are pairs (leader, member),
+   never all pairs of a list.
 3. Each node is searched for by its best leader, then links are merged into components, and only pairs of
    one list that still lie in different components are searched.
-4. A search is a T-occurrence search (DivideSkip) over the inverted lists of a batch of candidates' whole sets:
-   for each query the longest of its lists are set aside, the short ones are merged by a heap that skips, and the
+4. A search is a T-occurrence search (DivideSkip) over the inverted lists of a block of candidates' whole sets:
+   for the block's query the longest of its lists are set aside, the short ones are merged by a heap that skips, and the
    candidates that can still reach the overlap are probed in the long ones by bisection. Candidates of one query
    are dealt in blocks by size, so that a query with very many is spread over tasks.
 
@@ -52,9 +53,9 @@ MOST_COMMON = 1 << 20
 #: Shingles that are counted together before counts leave a task, and the count from which they do.
 COUNTED, LEAST_COUNT = 4_000_000, 2
 #: Entries of one part of a list, about.
-HOT = 1000
-#: Shingles of the candidates in one block of a query, and in one batch of blocks, about.
-BLOCK, BATCH = 500_000, 2_000_000
+HOT = 2000
+#: Shingles of the candidates in one block of a query, about.
+BLOCK = 500_000
 #: Bits of the table that tells which texts are wanted at all; a join behind it is exact.
 WANTED_BITS = 1 << 23
 #: Rows of one key from which it is looked at whether it is a hub, and hubs at most.
@@ -306,6 +307,14 @@ def listed(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, salt int, salts int, node long, n int, pos int, close boolean, lead long, lead_n int, lead_pos int")
 
 
+def led(members: DataFrame) -> DataFrame:
+    """members, with the leaders of the parts of a list giving way to the first of them, so that a list has one leader."""
+    leaders = members.where("salts > 1 AND node = lead").groupBy("shingle").agg(F.min_by(F.struct("lead", "lead_n", "lead_pos"), F.struct(F.col("lead_pos") / F.col("lead_n"), "lead")).alias("top"), F.max("salts").alias("salts"))
+    leaders = leaders.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "top.*")
+    several = members.where("salts > 1").drop("lead", "lead_n", "lead_pos").join(leaders, ["shingle", "salt"])
+    return members.where("salts = 1").unionByName(several)
+
+
 def wanted_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """text_key, text of the documents whose hash of the text is one of keys (text_key), and of a few others; each at least once.
 
@@ -409,7 +418,7 @@ def divide_skip(lists: list[list[int]], need: list[int], least: int, mu: float =
 
 
 class Lists:
-    """Inverted lists over the whole sets of a batch of candidates."""
+    """Inverted lists over the whole sets of a block of candidates."""
 
     def __init__(self, candidates: list[np.ndarray]):
         self.sizes = np.array([len(x) for x in candidates])
@@ -426,7 +435,7 @@ class Lists:
 
 
 def search(docs: DataFrame, pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Of pairs (query, node, n of the node), those that link (and other links that come up): a, b. keys: node, text_key.
+    """Of pairs (query, node, n of the node), those that link: a, b. keys: node, text_key.
 
     The candidates of a query are dealt in blocks of about BLOCK shingles; query and candidates meet as texts.
     """
@@ -446,34 +455,24 @@ def search(docs: DataFrame, pairs: DataFrame, keys: DataFrame) -> DataFrame:
     rows = rows.repartition("query", "block").sortWithinPartitions("query", "block", "role", "node")
 
     def run(batches):
-        queries: list[tuple[int, np.ndarray]] = []
-        nodes: list[int] = []
-        candidates: list[np.ndarray] = []
-        key, size = None, 0
+        key, own, nodes, candidates = None, None, [], []
 
         def found():
-            if not candidates:
-                return
-            lists = Lists(candidates)
-            out = [(q, nodes[k]) for q, own in queries for k in lists.search(own) if nodes[k] != q]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if own is not None and candidates and (out := [nodes[k] for k in Lists(candidates).search(own)]):
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
 
         for batch in in_parts(batches):
-            own = sets(batch.column(4))
-            for q, block, role, node, x in zip(*[batch.column(k).to_pylist() for k in range(4)], own):
-                if (q, block) != key and size > BATCH:
+            for q, block, role, node, x in zip(*[batch.column(k).to_pylist() for k in range(4)], sets(batch.column(4))):
+                if (q, block) != key:
                     yield from found()
-                    queries, nodes, candidates, size = [], [], [], 0
-                key = (q, block)
-                if node_of(x) != node:
+                    key, own, nodes, candidates = (q, block), None, [], []
+                if node_of(x) != node:  # another text with the same hash
                     continue
                 if role == 0:
-                    queries.append((q, x))
+                    own = x
                 else:
                     nodes.append(node)
                     candidates.append(x)
-                size += len(x)
         yield from found()
 
     return rows.mapInArrow(run, "a long, b long")
@@ -515,7 +514,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     documents = first.where("kind = 0").drop("kind")
     keys = documents.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(first.where("kind = 1")))
-    members = saved(listed(index(docs, common)))
+    members = saved(led(saved(listed(index(docs, common)))))
     # what the rest of two sets can have in common behind the shared part of the index bounds the overlap
     larger = F.greatest("n", "lead_n")
     stars = members.where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"), F.max(may_link("n", "pos", "lead_n", "lead_pos")).alias("may"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))

@@ -205,7 +205,7 @@ def test_lists_in_parts_hubs_and_blocks_give_the_same_components(spark, monkeypa
     rnd = random.Random(8)
     base = prose(rnd, 80).split(" ")
     more = [" ".join(x if rnd.random() > 0.015 else f"new{rnd.randint(0, 99)}" for x in base) for _ in range(60)] + [" ".join(base)] * 40 + [prose(rnd, 30) + " " + " ".join(base[:20]) for _ in range(30)]
-    for name, value in (("HOT", 5), ("BLOCK", 300), ("BATCH", 1000), ("HUB", 3), ("MOST_HUBS", 20), ("WANTED_BITS", 64)):
+    for name, value in (("HOT", 5), ("BLOCK", 300), ("HUB", 3), ("MOST_HUBS", 20), ("WANTED_BITS", 64)):
         monkeypatch.setattr(jaccard_join, name, value)
     got = by_id(jaccard_join.join(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").repartition(3)))
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(more))] == plain_components(more)
