@@ -10,8 +10,9 @@ has none), held as 64-bit hashes; two documents link when 100 * intersection >=
    shingles are dealt in salted parts of about HOT entries. In each part the node that has the shingle earliest
    is the leader, and of the leaders of a list's parts the first; what leaves the lists are pairs (leader, member),
    never all pairs of a list.
-3. Each node is searched for by its best leader, then links are merged into components, and only pairs of
-   one list that still lie in different components are searched.
+3. Each node is searched for by its best leader, then links are merged into components. In lists whose members
+   still lie apart, those outside the most frequent component are searched for by a member of it, for STAR_ROUNDS
+   rounds, and only pairs of one list that then still lie in different components are searched for by each other.
 4. A search is a T-occurrence search (DivideSkip) over the inverted lists of a block of candidates' whole sets:
    for the block's query the longest of its lists are set aside, the short ones are merged by a heap that skips, and the
    candidates that can still reach the overlap are probed in the long ones by bisection. Candidates of one query
@@ -53,9 +54,11 @@ MOST_COMMON = 1 << 20
 #: Shingles that are counted together before counts leave a task, and the count from which they do.
 COUNTED, LEAST_COUNT = 4_000_000, 2
 #: Entries of one part of a list, about.
-HOT = 2000
+HOT = 20_000
 #: Shingles of the candidates in one block of a query, about.
 BLOCK = 500_000
+#: Rounds of searches by one member of each list before members are searched for by each other.
+STAR_ROUNDS = 2
 #: Bits of the table that tells which texts are wanted at all; a join behind it is exact.
 WANTED_BITS = 1 << 23
 #: Rows of one key from which it is looked at whether it is a hub, and hubs at most.
@@ -240,11 +243,12 @@ def index(docs: DataFrame, common) -> DataFrame:
 
 
 def members_of(shingle, salt, salts, node, n, pos) -> list[np.ndarray] | None:
-    """Of whole parts of lists, the entries that may have a partner, each with the leader of its part: shingle, salt, salts, node, n, pos, close, lead, lead_n, lead_pos.
+    """Of whole parts of lists, the entries that may have a partner, each with the leader of its part: shingle, salt, salts, node, n, pos, close, fits, lead, lead_n, lead_pos.
 
     A list is looked through by size: an entry stays if the next larger set is not too large for it, or it is not
     too large for the next smaller one. close says the same of the bound that the places give (`may_link`), which holds
-    for the first shingle that two sets share. Entries of lists that are dealt in several parts all stay.
+    for the first shingle that two sets share. Entries of lists that are dealt in several parts all stay; fits says whether
+    one has a partner in its own part, and those that do come first as leaders.
     """
     order = np.lexsort((node, n, salt, shingle))
     columns = [x[order] for x in (shingle, salt, salts, node, n.astype(np.int64), pos.astype(np.int64))]
@@ -271,20 +275,20 @@ def members_of(shingle, salt, salts, node, n, pos) -> list[np.ndarray] | None:
     keep = np.flatnonzero(stays | several)
     if not len(keep):
         return None
-    shingle, salt, salts, node, n, pos, close, part = (x[keep] for x in (shingle, salt, salts, node, n, pos, close | several, part))
-    by_place = np.lexsort((node, pos / n, part))
+    shingle, salt, salts, node, n, pos, close, fits, part = (x[keep] for x in (shingle, salt, salts, node, n, pos, close | several, stays & close, part))
+    by_place = np.lexsort((node, pos / n, ~fits & (salts > 1), part))
     first = np.ones(len(keep), bool)
     first[1:] = part[by_place][1:] != part[by_place][:-1]
     lead = np.empty(len(keep), np.int64)
     lead[by_place] = by_place[np.flatnonzero(first)][np.cumsum(first) - 1]
-    return [shingle, salt, salts, node, n.astype(np.int32), pos.astype(np.int32), close, node[lead], n[lead].astype(np.int32), pos[lead].astype(np.int32)]
+    return [shingle, salt, salts, node, n.astype(np.int32), pos.astype(np.int32), close, fits, node[lead], n[lead].astype(np.int32), pos[lead].astype(np.int32)]
 
 
 def listed(entries: DataFrame) -> DataFrame:
     """The members of the lists (see `members_of`): one shuffle by shingle and part, in which the lists are sorted."""
     import pyarrow as pa
 
-    names = ["shingle", "salt", "salts", "node", "n", "pos", "close", "lead", "lead_n", "lead_pos"]
+    names = ["shingle", "salt", "salts", "node", "n", "pos", "close", "fits", "lead", "lead_n", "lead_pos"]
 
     def run(batches):
         def out(columns):
@@ -304,12 +308,12 @@ def listed(entries: DataFrame) -> DataFrame:
             yield from out(held)
 
     dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
-    return dealt.mapInArrow(run, "shingle long, salt int, salts int, node long, n int, pos int, close boolean, lead long, lead_n int, lead_pos int")
+    return dealt.mapInArrow(run, "shingle long, salt int, salts int, node long, n int, pos int, close boolean, fits boolean, lead long, lead_n int, lead_pos int")
 
 
 def led(members: DataFrame) -> DataFrame:
     """members, with the leaders of the parts of a list giving way to the first of them, so that a list has one leader."""
-    leaders = members.where("salts > 1 AND node = lead").groupBy("shingle").agg(F.min_by(F.struct("lead", "lead_n", "lead_pos"), F.struct(F.col("lead_pos") / F.col("lead_n"), "lead")).alias("top"), F.max("salts").alias("salts"))
+    leaders = members.where("salts > 1 AND node = lead").groupBy("shingle").agg(F.min_by(F.struct("lead", "lead_n", "lead_pos"), F.struct((~F.col("fits")).alias("alone"), F.col("lead_pos") / F.col("lead_n"), "lead")).alias("top"), F.max("salts").alias("salts"))
     leaders = leaders.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "top.*")
     several = members.where("salts > 1").drop("lead", "lead_n", "lead_pos").join(leaders, ["shingle", "salt"])
     return members.where("salts = 1").unionByName(several)
@@ -507,6 +511,14 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def mixed_lists(entries: DataFrame, of: DataFrame) -> DataFrame:
+    """Of entries, those of lists whose members lie in several components, with component and main (the list's most frequent one)."""
+    rows = saved(entries.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    lists = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("many"), F.max("salts").alias("salts"))
+    lists = lists.groupBy("shingle").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("components"), F.max("salts").alias("salts")).where("components > 1")
+    return saved(rows.drop("salts").join(lists.select("shingle", "main", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["shingle", "salt"]))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node, text_key) of all documents, and (node, component) of the nodes that link with another."""
     docs = slim(docs, "doc_id", "text")
@@ -523,14 +535,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query"), F.first("n").alias("n")))
     links = saved(search(docs, best, keys))
     of = saved(components(links))
-    # lists whose members still lie apart: those that are not in the list's most frequent component against all
+    # lists whose members still lie apart: first those that are not in the list's most frequent component are searched for by
+    # its foremost member, as long as that merges much, and then by each other
     # (an entry that is not close has no partner for which this list holds the first shingle in common)
-    rows = members.where("close").select("shingle", "salt", "salts", "node", "n", "pos").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = saved(rows)
-    lists = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("many"), F.max("salts").alias("salts"))
-    lists = lists.groupBy("shingle").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("components"), F.max("salts").alias("salts")).where("components > 1")
-    rows = rows.drop("salts").join(lists.select("shingle", "main", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["shingle", "salt"])
-    rows = saved(rows)
+    entries = members.where("close").select("shingle", "salt", "salts", "node", "n", "pos")
+    tried = best.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node"))
+    rows = mixed_lists(entries, of)
+    for _ in range(STAR_ROUNDS):
+        front = rows.where("component = main").groupBy("shingle").agg(F.min_by(F.struct(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos")), F.struct(F.col("pos") / F.col("n"), "node")).alias("front"), F.max("salts").alias("salts"))
+        front = front.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "front.*")
+        stars = rows.where("component != main").drop("salts").join(front, ["shingle", "salt"]).where(may_link("n", "pos", "lead_n", "lead_pos"))
+        stars = stars.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"), F.first("n").alias("n")).withColumns({"a": F.least("node", "lead"), "b": F.greatest("node", "lead")})
+        stars = stars.join(tried.withColumnsRenamed({"query": "a", "node": "b"}), ["a", "b"], "left_anti")
+        best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query"), F.first("n").alias("n")))
+        tried = tried.unionByName(best.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")))
+        found = saved(search(docs, best, keys))
+        if not found.take(1):
+            break
+        links = links.unionByName(found)
+        of = saved(components(links))
+        rows = mixed_lists(entries, of)
     bits = part_bits(docs, rows.select("node").distinct().join(keys, "node"), common)
     rows = saved(rows.join(bits, "node"))
     twos = ("n", "pos", "component", *[f"bits{k}" for k in range(8)])
@@ -539,8 +563,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     turn = F.col("query") < F.col("node")
     pick = lambda a, b: F.when(turn, F.col(a)).otherwise(F.col(b))
     rest = rest.select(pick("query", "node").alias("query"), pick("node", "query").alias("node"), pick("n2", "n").alias("query_n"), pick("n", "n2").alias("n")).distinct()
-    known = best.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node"))
-    rest = saved(rest.join(known, ["query", "node"], "left_anti"))
+    rest = saved(rest.join(tried, ["query", "node"], "left_anti"))
     # of two nodes, the one with more pairs is the query, so that few texts are sent often
     ends = rest.select(F.explode(F.array("query", "node")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("pairs"))
     for end in ("query", "node"):
