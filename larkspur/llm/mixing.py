@@ -147,10 +147,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) ->
 
 
 def sample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Texts move once: rows and copies meet by a hash of the document."""
+    """The rows of docs, each as often as the mix takes it. Texts move once: rows and copies meet by a hash of all columns, so that only
+    rows which are equal throughout can stand for each other."""
     key, nth, taken, one = fresh(docs, "mix_key", "mix_nth", "mix_copies", "mix_one")
-    hashed = F.xxhash64(F.col("`doc_id`"), F.col("`source`"), F.col("`text`"))
-    got = copies(slim(docs, "doc_id", "text", "source"), hashed, weights, seed)
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    got = copies(docs, hashed, weights, seed)
     per_key = got.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_list(F.col("_copies").cast("int"))).alias(taken))
     from pyspark.sql import Window
 

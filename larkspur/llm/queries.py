@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, suffix_dedup, token_counts
 
-#: The vocabularies of public tokenizers lie here on the driver's machine; a parameter of the operators.
-TOKENIZERS = "/opt/tokenizers"
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's vocabulary file lies on the driver's machine; a parameter of the operators."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_counts.count(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return secret_scan.scan(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ _WORDS = "list_filter(" + _SPLIT + ", lambda x: x <> '')"
 _STALE = " OR ".join(f"contains(lower(l), '{b}')" for b in quality_rules.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
-    "op6_quality_rules": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    "op6_quality_rules": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS t(i)),
 r AS (SELECT doc_id, i FROM i QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),

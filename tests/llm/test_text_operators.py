@@ -136,6 +136,70 @@ def test_secrets_are_found_and_cards_are_not(spark, docs, texts, empty):
     assert len(by_id(secret_scan.scan(docs, path))) == len(texts) and secret_scan.scan(empty, path).count() == 0
 
 
+@needs_tokenizers
+def test_secrets_with_given_labels_and_on_rows_without_them(spark):
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    rnd = random.Random(13)
+    rows, labels = [], []
+    for i in range(400):
+        secret = i % 2 == 1
+        s = rnd.choice(["AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(rnd.choice("0123456789abcdef") for _ in range(40))]) if secret else rnd.choice([f"20{rnd.randint(10, 99)}-{rnd.randint(10, 99)}-report-of-the-house", f"/usr/share/local{rnd.randint(1, 9)}/people/things", f"4{rnd.randint(10**14, 10**15 - 1)}"])
+        text = prose(rnd, 6, ("the", "house", "people", "with", "things")) + " "
+        rows.append((i, text + s + " and the people"))
+        if i < 200:
+            labels += [(i, len(text), len(text) + len(s), float(secret))] * 2
+    got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), path, spark.createDataFrame(labels, "doc_id long, start long, end long, label double")))
+    held = [i for i in range(200, 400) if got[i]["n_candidates"]]
+    true = sum(got[i]["n_secrets"] > 0 for i in held if i % 2)
+    assert true / 100 >= 0.95 and true / max(1, sum(got[i]["n_secrets"] > 0 for i in held)) >= 0.95
+    weak = by_id(secret_scan.scan(spark.createDataFrame(rows + [(500, 'password = "hunter22x" name = "room12"')], "doc_id long, text string"), path))
+    assert sum(weak[i]["n_secrets"] > 0 for i in range(1, 400, 2)) >= 95 and weak[500]["n_candidates"] == 2
+
+
+@needs_tokenizers
+def test_null_ids_repeated_rows_and_long_digit_runs(spark):
+    rows = [(None, "0" * 5000 + ".1.2.3"), (1, "9" * 5000 + ".1.2.3"), (1, "9" * 5000 + ".1.2.3"), (2, "x 10.0.0.1 http://a.example/b tel:030 123-4567")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_ip"]) for r in got) == [("1", 0), ("1", 0), ("2", 1), ("None", 1)]
+    assert {r["text"] for r in pii.mask(df).collect()} == {"<IP>", "9" * 5000 + ".1.2.3", "x <IP> http://a.example/b tel:<TEL>"}
+    assert secret_scan.scan(df, f"{TOKENIZERS}/byte_bpe_50k.json").count() == 4
+
+
+def test_language_scores_are_those_of_plain_counts(spark):
+    import math as m
+
+    rnd = random.Random(9)
+    langs = {"en": ("the", "and", "house"), "fr": ("été", "les", "maison"), "de": ("der", "Straße", "und")}
+    rows = [(i, prose(rnd, 12, langs[x]), x) for i, x in enumerate(rnd.choice(list(langs)) for _ in range(90))]
+    got = by_id(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    counts = {x: {} for x in langs}
+    for i, t, x in rows:
+        for g in language_id.grams([t])[0].tolist() if not held[i] else []:
+            counts[x][g] = counts[x].get(g, 0) + 1
+    n = {x: sum(not held[i] and y == x for i, _, y in rows) for x in langs}
+    right = 0
+    for i, t, x in rows:
+        score = {y: m.log(n[y] / sum(n.values())) + sum(m.log((counts[y].get(g, 0) + 0.5) / (sum(counts[y].values()) + 0.5 * language_id.BUCKETS)) for g in language_id.grams([t])[0].tolist()) for y in langs}
+        best = max(sorted(langs), key=score.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(m.exp(v - score[best]) for v in score.values())) < 1e-3
+        right += held[i] and best == x
+    assert right >= 0.95 * sum(held.values())
+
+
+def test_pivoting_keeps_sums_and_means():
+    rnd = random.Random(10)
+    sizes, start = [7, 3, 5, 9, 2, 4], [0.3, 0.5, 0.7, 0.2, 0.9, 0.4]
+    means, runs = [0.0] * 6, 4000
+    for _ in range(runs):
+        parts, held = mixing.pivot(sizes, start, rnd.random)
+        assert all(p in (0.0, 1.0) for k, p in enumerate(parts) if k != held)
+        assert abs(sum(p * s for p, s in zip(parts, sizes)) - sum(p * s for p, s in zip(start, sizes))) < 1e-6
+        means = [m + p / runs for m, p in zip(means, parts)]
+    assert all(abs(m - p) < 0.04 for m, p in zip(means, start))
+
+
 def shingles(t):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
@@ -292,12 +356,34 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("sorted_rows,compared", [(150_000, 1_000_000), (50, 300)])
-def test_repeats_are_those_of_all_windows(spark, docs, texts, empty, monkeypatch, sorted_rows, compared):
+def test_strings_are_sorted_and_compared_like_plain_ones():
+    import numpy as np
+
+    rnd = random.Random(11)
+    strings = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.choice([0, 3, 8, 9, 16, 30, 70]))) for _ in range(400)] + [b"abababab" * 5] * 70
+    flat, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+    begin = np.cumsum(size) - size
+    order = suffix_dedup.multikey_quicksort(flat, begin, size)
+    got = [strings[i] for i in order]
+    assert got == sorted(strings)
+    assert suffix_dedup.common_lengths(flat, begin, size, order).tolist() == [len(os.path.commonprefix(x)) for x in zip(got, got[1:])]
+
+
+def test_one_byte_texts_null_and_text_ids_lose_repeats(spark, texts):
+    rows = [(1, "a" * 4_000_000), (2, "ab" * 1000), (3, None)]
+    got = by_id(suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), False))
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(4_000_000, 3_999_999, 1), (2000, 1998, 1), (0, 0, 0)]
+    t = texts[-6]
+    got = by_id(suffix_dedup.dedupe(spark.createDataFrame([("b", t), ("a", t), (None, t)], "doc_id string, text string")))
+    assert [got[i]["n_removed"] for i in ("a", "b", None)] == [0, len(t.encode()), len(t.encode())]
+
+
+@pytest.mark.parametrize("sorted_rows", [250_000, 50])
+def test_repeats_are_those_of_all_windows(spark, texts, empty, monkeypatch, sorted_rows):
     monkeypatch.setattr(suffix_dedup, "SORTED", sorted_rows)
-    monkeypatch.setattr(suffix_dedup, "COMPARED", compared)
-    rows = list(enumerate(texts))
-    got = by_id(suffix_dedup.dedupe(docs))
+    more = [*texts, "a" * 500, "ab" * 300, "abcdefg" * 90, ("z" * 50 + "q") * 20, "\0" * 300, texts[-4][40:300]]
+    rows = list(enumerate(more))
+    got = by_id(suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
     want = plain_repeats(rows)
     for i, _ in rows:
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want[i]
