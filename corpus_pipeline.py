@@ -1,14 +1,20 @@
-"""From raw documents to encoded training text: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to encoded training text: five stages, each written as Parquet and read again by the next.
+
+Results for odd rows: null, empty and wordless texts fail the quality rules and go; rows that repeat id and text
+count as copies, of which one stays; null ids are documents like others and stay behind those with an id; a null
+source is a source; very long texts are worked on whole; other columns are carried along, whatever their names, up
+to the last stage; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, jaccard_join, mixing, pii, quality_rules
-from larkspur.llm.queries import TOKENIZERS
+from larkspur.llm.common import shared_folder
+from larkspur.llm.queries import vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: one row for each document taken, with the number of its ids and digests of ids and decoded text."""
-    return bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -48,14 +54,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later stage reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, with a table in the shared folder between each two."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents, with a table in the shared folder between each two. Each table goes once the next one is
+    written; the last one stays, as the result reads it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
