@@ -11,7 +11,7 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def strip_accents(x: Column) -> Column:
-    return F.translate(F.translate(x, ACCENTED, PLAIN), ACCENTED.upper().replace("Ÿ", "ÿ"), PLAIN.upper())
+    return F.translate(F.translate(x, ACCENTED, PLAIN), ACCENTED.upper(), PLAIN.upper())
 
 
 def normalised_name(x: Column) -> Column:

@@ -68,3 +68,15 @@ def imbalance(df: DataFrame, label: str) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     return df.groupBy(F.least(F.lit(bins), F.greatest(F.lit(1), F.width_bucket(column, F.lit(low), F.lit(high), F.lit(bins)))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rebuilt(df: DataFrame, target: str, numerator: str, denominator: str, tolerance: float = 0.005, bound: float = 0.99) -> DataFrame:
+    """The share of rows whose target is the ratio of two features, and whether that gives the target away."""
+    same = F.abs(F.try_divide(F.col(numerator), F.col(denominator)) - F.col(target)) <= tolerance
+    return df.agg((F.count_if(same) / F.count(F.lit(1))).alias("share")).withColumn("leaks", F.col("share") > bound)
+
+
+def binary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, is_binary: whether every value that is there is 0 or 1."""
+    row = df.agg(*[F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(False)).alias(c) for c in columns])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("is_binary")) for c in columns])).alias("x")).select("x.*")

@@ -25,6 +25,13 @@ def expect_empty(violations: DataFrame, message: str) -> None:
         raise ContractError(message)
 
 
+def expect_rows(df: DataFrame, message: str) -> DataFrame:
+    """df; raise if it has no row (a window without data would make features of nothing)."""
+    if not df.take(1):
+        raise ContractError(message)
+    return df
+
+
 def violations_of_key(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that stand in more than one row."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -96,8 +103,9 @@ def resolve_names(source: DataFrame, target: DataFrame, group: str | None = None
 
 
 def dedupe_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key, in this order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """The first row of each key, in this order (nulls first). An aggregate, so that a key with very many rows is folded before the shuffle."""
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def flatten(df: DataFrame, array: str, keep: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import scalars as S
 from larkspur.operators import models as M
 from larkspur.operators import profiling as Q
+from larkspur.operators.ordering import shared_folder
 from larkspur.plans.metrics import rounded
 from larkspur.plans.registry import query, table
 
@@ -127,6 +128,36 @@ def best_split_variance(spark, sf_dir):
     return M.best_split(_labelled(spark, sf_dir), ["n_chars"], "y", "variance")
 
 
+def _tree_sql(score, gain="AND score > 0"):
+    """Two levels of best splits, at least five rows to split and two to a leaf, and each row's leaf mean."""
+
+    def best(name, source):
+        return f"""{name}_p AS (SELECT v, count(*)::DOUBLE AS n, sum(y) AS s FROM {source} GROUP BY 1), {name}_l AS (SELECT v, lead(v) OVER (ORDER BY v) AS w, sum(n) OVER (ORDER BY v) AS ln, sum(s) OVER (ORDER BY v) AS ls, sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM {name}_p), {name}_c AS (SELECT *, (v + w) / 2 AS threshold, ts - ls AS rs, tn - ln AS rn FROM {name}_l WHERE w IS NOT NULL), {name} AS (SELECT threshold FROM (SELECT threshold, round({score}, 9) AS score FROM {name}_c WHERE ln >= 2 AND rn >= 2 AND tn >= 5 AND ts > 0 AND ts < tn) WHERE true {gain} ORDER BY score DESC, threshold LIMIT 1)"""
+
+    return f"""WITH d AS (SELECT doc_id, n_chars::DOUBLE AS v, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), {best("root", "d")}, s AS (SELECT d.*, coalesce(v <= (SELECT threshold FROM root), true) AS a FROM d), {best("l", "(SELECT * FROM s WHERE a)")}, {best("r", "(SELECT * FROM s WHERE NOT a)")}
+SELECT doc_id, round(avg(y) OVER (PARTITION BY a, b), 6) AS p FROM (SELECT *, coalesce(v <= CASE WHEN a THEN (SELECT threshold FROM l) ELSE (SELECT threshold FROM r) END, true) AS b FROM s)"""
+
+
+def _tree(spark, sf_dir, kind):
+    df = _labelled(spark, sf_dir)
+    return df.select("doc_id", F.round(M.tree_value(M.grow_tree(df, ["n_chars"], "y", kind, 2)), 6).alias("p"))
+
+
+@query(_tree_sql(f"{_g('ts', 'tn')} - ln / tn * {_g('ls', 'ln')} - rn / tn * {_g('rs', 'rn')}"))
+def tree_gini(spark, sf_dir):
+    return _tree(spark, sf_dir, "gini")
+
+
+@query(_tree_sql(f"{_v('ts', 'tn')} - ln / tn * {_v('ls', 'ln')} - rn / tn * {_v('rs', 'rn')}"))
+def tree_variance(spark, sf_dir):
+    return _tree(spark, sf_dir, "variance")
+
+
+@query(_tree_sql("(sqrt(ls / ts) - sqrt((ln - ls) / (tn - ts))) ** 2 + (sqrt(rs / ts) - sqrt((rn - rs) / (tn - ts))) ** 2", ""))
+def tree_hellinger(spark, sf_dir):
+    return _tree(spark, sf_dir, "hellinger")
+
+
 @query(PER + ", e AS (SELECT threshold, ls + (rn - rs) AS wrong, tn FROM c) SELECT 'n_chars' AS feature, threshold, round(least(wrong / tn, 1 - wrong / tn), 6) AS error, round(0.5 * ln((1 - least(wrong / tn, 1 - wrong / tn)) / least(wrong / tn, 1 - wrong / tn)), 6) AS alpha FROM e ORDER BY round(least(wrong / tn, 1 - wrong / tn), 9), threshold LIMIT 1")
 def adaboost_round1(spark, sf_dir):
     s = M.adaboost(_labelled(spark, sf_dir), ["n_chars"], "sign", 1)
@@ -214,7 +245,6 @@ def balanced_bagging(spark, sf_dir):
 @query()
 def hs_forest(spark, sf_dir):
     """A shrunk random forest; the model's node table goes through the shared folder."""
-    import tempfile
     import uuid
 
     from pyspark.ml.classification import RandomForestClassifier
@@ -223,8 +253,7 @@ def hs_forest(spark, sf_dir):
     df = _labelled(spark, sf_dir).select("doc_id", "y", "n_chars", "source_len")
     ready = VectorAssembler(inputCols=["n_chars", "source_len"], outputCol="features").transform(df)
     model = RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=4, seed=3).fit(ready)
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-model-")
-    nodes = M.shrunk_nodes(model, 10.0, f"{folder.rstrip('/')}/forest-{uuid.uuid4().hex}")
+    nodes = M.shrunk_nodes(model, 10.0, f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}")
     return M.forest_predict(df, nodes, ["n_chars", "source_len"]).select("doc_id", F.round("p", 6).alias("p"))
 
 
@@ -314,7 +343,7 @@ def value_argmax(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", S.argmax(values).alias("action"), F.round(F.array_max(values), 6).alias("value"))
 
 
-@query("SELECT 'l_returnflag' AS kept FROM lineitem LIMIT 1")
+@query("WITH v AS (SELECT 'l_returnflag' AS kept, l_returnflag AS x FROM lineitem UNION ALL SELECT 'fixed', 'x' FROM lineitem), c AS (SELECT kept, x, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY 1, 2) SELECT kept FROM c GROUP BY kept HAVING max(n) / sum(n) <= 0.99 AND count(*) > 1")
 def near_constant_drop(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.lit("x").alias("fixed"))
     return Q.near_constant(df, ["l_returnflag", "fixed"]).where("NOT near_constant").select(F.col("column").alias("kept"))

@@ -205,3 +205,41 @@ def leaf_stats(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("toxic_n"), F.round(F.percentile("value", 0.5), 6).alias("median_value"), (F.count_if(F.col("event_type") == "click") * 2 >= F.count(F.lit(1))).alias("y_major"))
 
 
+
+
+CHOSEN = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+@query(
+    "WITH r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(CHOSEN) for b in CHOSEN[i + 1 :]) + "), y AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, abs(corr({c}, l_discount)) AS r FROM lineitem" for c in CHOSEN) + "), gone AS (SELECT CASE WHEN p.r >= q.r THEN b ELSE a END AS c FROM r JOIN y p ON p.c = a JOIN y q ON q.c = b WHERE abs(r.r) > 0.85) SELECT c AS kept FROM y WHERE c NOT IN (SELECT c FROM gone)"
+)
+def prune_pearson(spark, sf_dir):
+    """Of two columns that go together, the one closer to the label stays."""
+    pairs = {(r["a"], r["b"]): r["r"] for r in P.pearson(table(spark, sf_dir, "lineitem"), [*CHOSEN, "l_discount"]).collect()}  # one number for each pair of columns
+    kept = P.prune_pearson({k: v for k, v in pairs.items() if "l_discount" not in k}, {c: pairs[c, "l_discount"] for c in CHOSEN}, CHOSEN)
+    return table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("kept"))
+
+
+@query("SELECT count(CASE WHEN abs(l_extendedprice * l_quantity / nullif(l_quantity, 0) - l_extendedprice) <= 0.005 THEN 1 END) / count(*) AS share, count(CASE WHEN abs(l_extendedprice * l_quantity / nullif(l_quantity, 0) - l_extendedprice) <= 0.005 THEN 1 END) / count(*) > 0.99 AS leaks FROM lineitem")
+def leakage_guard(spark, sf_dir):
+    """Whether a target can be rebuilt as the ratio of two features."""
+    df = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", (F.col("l_extendedprice") * F.col("l_quantity")).alias("revenue"))
+    return Q.rebuilt(df, "l_extendedprice", "revenue", "l_quantity")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce(bool_and({c} IN (0, 1)), false) AS is_binary FROM labels" for c in ("doc_id", "quality", "toxic")))
+def binary_columns(spark, sf_dir):
+    return Q.binary(table(spark, sf_dir, "labels"), ["doc_id", "quality", "toxic"])
+
+
+@query(f"SELECT event_type, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM (SELECT event_type, run, avg(value) AS m FROM events, (SELECT unnest(range(1, 11)) AS run) WHERE {UNIT(42, 'run', 'run', 'event_id')} < 0.7 GROUP BY 1, 2) GROUP BY 1")
+def run_aggregates(spark, sf_dir):
+    """Mean and population deviation of a figure over ten seeded runs, each on its own part of the rows."""
+    runs = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("run")).where(S.unit(42, "run", F.col("run"), F.col("event_id")) < 0.7)
+    return rounded(runs.groupBy("event_type", "run").agg(F.avg("value").alias("m")).groupBy("event_type").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")))
+
+
+@query("SELECT o_orderkey, '{\"status\":\"' || o_orderstatus || '\",\"customer\":' || o_custkey || '}' AS json, list_filter(l, lambda x, i: list_position(l, x) = i) AS digits FROM (SELECT *, [o_orderkey % 3, o_custkey % 3, o_orderkey % 2] AS l FROM orders)")
+def json_and_list_dedupe(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))).alias("json"), F.array_distinct(F.array(F.col("o_orderkey") % 3, F.col("o_custkey") % 3, F.col("o_orderkey") % 2)).alias("digits"))
