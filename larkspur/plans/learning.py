@@ -208,7 +208,7 @@ def krr_fit(spark, sf_dir):
 @query()
 def svm_fit(spark, sf_dir):
     e = vectors(spark, sf_dir).withColumn("sign", F.when(F.col("label") < 5, 1.0).otherwise(-1.0))
-    model, offset, _ = M.kernel_svm(e, "vec_id", "v", "sign", M.rbf(1 / 128), epochs=5, rows=150)
+    model, offset, _ = M.kernel_svm(e, "vec_id", "v", "sign", M.rbf(1 / 128))
     return model.apply(e, "v", "p").select("vec_id", F.round(F.col("p")[0] + offset, 6).alias("decision"))
 
 

@@ -161,3 +161,33 @@ def test_shrinkage_without_penalty_keeps_the_forest(spark, tmp_path):
     assert np.allclose(got, want)
     flat = [r[0] for r in rows(L.forest_predict(df, L.shrunk_nodes(model, 1e12, f"{tmp_path}/b"), ["a", "b"]).select("p"))]
     assert max(flat) - min(flat) < 1e-6
+
+
+def test_support_vectors_solve_the_dual(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2))
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0.2, 1.0, -1.0)
+    df = spark.createDataFrame([(i, v.tolist(), float(s)) for i, (v, s) in enumerate(zip(x, y))], "id long, v array<double>, y double")
+    model, offset, converged = L.kernel_svm(df, "id", "v", "y", L.rbf(0.5), c=10.0, tol=1e-6, epochs=5000)
+    got = np.array([r[0][0] for r in rows(model.apply(df, "v", "p").orderBy("id").select("p"))]) + offset
+    assert converged and (np.sign(got) == y).mean() >= 0.95
+    ids = [r[0] for r in rows(L.sampled(df, "id", 60).select("id"))]
+    a, margin = np.abs(model.m[:, 0]), (got * y)[ids]
+    assert (margin[a < 1e-9] >= 1 - 1e-3).all() and (margin[a > 10 - 1e-9] <= 1 + 1e-3).all() and np.allclose(margin[(a > 1e-6) & (a < 10 - 1e-6)], 1, atol=1e-3)
+
+
+def test_geometric_points_lie_in_the_ball_around_their_base(spark):
+    df = spark.createDataFrame([(i, 1, [float(i % 5), float(i // 5)], "a" if i % 2 else "b") for i in range(20)], "k long, y int, v array<double>, c string")
+    at = {r[0]: np.array(r[2]) for r in rows(df)}
+    got = rows(L.geometric_smote(df, "k", "v", "y", 1, 30, "c"))
+    assert len(got) == 30 and all(np.linalg.norm(np.array(v) - at[b]) <= 2.3 for _, b, v, _ in got)
+    assert sorted(got) == sorted(rows(L.geometric_smote(df.repartition(3), "k", "v", "y", 1, 30, "c")))
+
+
+def test_trees_stop_and_predict(spark):
+    df = spark.createDataFrame([(float(i), 1.0 if 3 <= i < 7 else 0.0) for i in range(10)], "x double, y double")
+    tree = L.grow_tree(df, ["x"], "y", "gini", 2)
+    assert {r[0]: r[1] for r in rows(df.select("x", L.tree_value(tree)))} == {float(i): 1.0 if 3 <= i < 7 else 0.0 for i in range(10)}
+    assert "feature" not in L.grow_tree(df.where("x < 3"), ["x"], "y", "variance", 3) and L.grow_tree(df.limit(4), ["x"], "y", "hellinger", 3)["n"] == 4
+    with pytest.raises(R.ContractError):
+        R.expect_rows(df.where("x > 99"), "no rows")
