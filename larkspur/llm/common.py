@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession):
+    """Shuffle files of an action go when it ends, not when the driver next collects garbage. For jobs of many actions that read one another's checkpoints only."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names close to bases that df does not have (Spark's names ignore case)."""
     taken, names = {c.lower() for c in df.columns}, []

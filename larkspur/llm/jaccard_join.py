@@ -40,11 +40,11 @@ from bisect import bisect_left
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import eights, fresh, in_parts, mixed, saved, slim
+from larkspur.llm.common import eights, fresh, in_parts, mixed, saved, shuffles_cleared, slim
 
 SHINGLE = 5
 #: 9 * intersection >= 4 * (size + size) says the same as 100 * intersection >= 80 * union.
@@ -192,8 +192,8 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().astype(np.int64).tobytes()], pa.binary()) for k in (0, 1)], names=["node", "n"])
 
-    # at most MOST_COMMON numbers, a part at a time
-    got = [(r["node"], r["n"]) for r in total.where(size >= least).select("node", "n").mapInArrow(pack, "node binary, n binary").toLocalIterator()]
+    # at most MOST_COMMON numbers of each kind, 16 MB in all
+    got = [(r["node"], r["n"]) for r in total.where(size >= least).select("node", "n").mapInArrow(pack, "node binary, n binary").collect()]
     values, n = (np.frombuffer(b"".join(x[k] for x in got), np.int64) for k in (0, 1))
     values = values.astype(np.uint64)
     rank = np.empty(len(n), np.int32)
@@ -495,20 +495,32 @@ def with_hubs(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) for every node that has a link: rounds of large star and small star until nothing changes."""
-    edges, before = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    """node, component (its least node) for every node that has a link: rounds of large star and small star until nothing changes.
+
+    A round makes one edge of each. With HUB rows or more, what is least at a node is found before rows of one node meet
+    (see `with_hubs`); with fewer, a window over them takes one shuffle a step.
+    """
+    edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("changed")).distinct())
+    many = 2 * edges.count() >= HUB
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        """a, b, changed (whether it is for any row of a and b), least and most (of all b of an a)."""
+        if many:
+            rows = rows.groupBy("a", "b").agg(F.max("changed").alias("changed"))
+            return with_hubs(rows, rows.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")), "a")
+        at = Window.partitionBy("a")
+        return rows.withColumns({"least": F.min("b").over(at), "most": F.max("b").over(at)})
+
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = with_hubs(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
-        edges = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = state
+        rows = edges.select("a", "b", F.lit(False).alias("changed"))
+        both = with_least(rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "changed")))
+        low = F.least("a", "least")
+        large = both.where("b > a").select(F.col("b").alias("a"), low.alias("b"), (low != F.col("a")).alias("changed"))
+        small = with_least(large).withColumn("changed", F.col("changed") | (F.col("least") != F.col("most")))
+        end = F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b"))
+        edges = saved(small.select(end.alias("a"), F.col("least").alias("b"), "changed"))
+        if not edges.where("changed").take(1):
+            return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
 
 
 def mixed_lists(entries: DataFrame, of: DataFrame) -> DataFrame:
@@ -576,9 +588,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node, text_key) of all documents, and (node, component) of all nodes with a shingle."""
-    rows, of = classes(docs)
-    nodes = rows.where("n > 0").select("node").distinct().join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return rows, saved(nodes)
+    with shuffles_cleared(docs.sparkSession):
+        rows, of = classes(docs)
+        nodes = rows.where("n > 0").select("node").distinct().join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return rows, saved(nodes)
 
 
 def join(docs: DataFrame) -> DataFrame:
