@@ -23,10 +23,11 @@ are read again, found by a hash of the text in a bitmap of fixed size and a join
 which are smaller than their sets. Components come from rounds of joins with checkpoints; keys that stand in very
 many rows are joined by a broadcast of at most MOST_HUBS of them.
 
-Hashes: words are hashed by chains of bijections over eight bytes at a time (words of up to eight bytes can't
-collide), shingles and sets from those. A false link or a lost one needs a collision of two 64-bit hashes: odds of
+Hashes: words are hashed by chains of bijections over eight bytes at a time, begun at a secret that is drawn for
+each job (words of one length of up to eight bytes can't collide, and nobody can make longer ones that do),
+shingles and sets from those. A false link or a lost one needs a collision of two 64-bit hashes: odds of
 about one in 10**13 for two sets of a thousand shingles, and of one in 37 that any two of 10**9 different sets or
-texts share a hash.
+texts share a hash. Results don't depend on the secret.
 
 Results for odd rows: a document without a word is linked with nothing; repeated rows and equal texts are one
 component; a null doc_id never names a component unless it has only nulls; other columns and their names don't
@@ -36,6 +37,7 @@ matter; an empty table gives an empty result. Texts are read whole, whatever the
 from __future__ import annotations
 
 import heapq
+import os
 from bisect import bisect_left
 from hashlib import blake2b
 
@@ -75,11 +77,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def drawn_secret() -> int:
+    """The secret of a job, drawn on the driver; every pass of the job hashes with it."""
+    return int.from_bytes(os.urandom(8), "big")
+
+
+def word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, secret: int) -> np.ndarray:
     """A 64-bit hash of each of the words that stand in flat at these places."""
     size, eight = end - begin, eights(flat)
     with np.errstate(over="ignore"):
-        out = size.astype(np.uint64) * _SIZE
+        out = mixed(size.astype(np.uint64) * _SIZE ^ np.uint64(secret))
         open_, depth = np.flatnonzero(size <= LONG_WORD), 0
         while len(open_):
             left = size[open_] - depth
@@ -88,11 +95,11 @@ def word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
             out[open_] = mixed(out[open_] * _NEXT ^ word)
             open_, depth = open_[left > 8], depth + 8
     for k in np.flatnonzero(size > LONG_WORD).tolist():
-        out[k] = int.from_bytes(blake2b(flat[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "big")
+        out[k] = int.from_bytes(blake2b(flat[begin[k] : end[k]].tobytes(), digest_size=8, key=secret.to_bytes(8, "big")).digest(), "big")
     return out
 
 
-def sets(texts) -> list[np.ndarray]:
+def sets(texts, secret: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow string column (null: none)."""
     import pyarrow as pa
 
@@ -112,7 +119,7 @@ def sets(texts) -> list[np.ndarray]:
     end = word
     end[:-1] &= ~word[1:] | edge[1:-1]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    words = word_hashes(flat, s, e)
+    words = word_hashes(flat, s, e, secret)
     first, out = np.searchsorted(s, at), []
     with np.errstate(over="ignore"):
         many = max(0, len(words) - SHINGLE + 1)
@@ -137,7 +144,7 @@ def node_of(own: np.ndarray) -> int:
         return int(mixed(total).astype(np.int64)[0])
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
+def first_pass(docs: DataFrame, secret: int) -> DataFrame:
     """doc_id, n, node, text_key for each document (kind 0), and counts of shingles that are common within a task (kind 1: node is the shingle, n the count)."""
     import pyarrow as pa
 
@@ -153,7 +160,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         some, size, seen, kind = [], 0, set(), None
         for batch in in_parts(batches):
             kind = batch.column(0).type
-            own = sets(batch.column(1))
+            own = sets(batch.column(1), secret)
             nodes = [node_of(x) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(own), pa.int32()), batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(nodes, pa.int64()), batch.column(2)], names=schema.names)
             for x, node in zip(own, nodes):
@@ -218,7 +225,7 @@ def shared_part(own: np.ndarray, values: np.ndarray, rank: np.ndarray, salts: np
     return own[:keep], many[:keep]
 
 
-def index(docs: DataFrame, common) -> DataFrame:
+def index(docs: DataFrame, common, secret: int) -> DataFrame:
     """Entries of the inverted lists: shingle, salt, salts (the part of the list and how many there are), node, n, pos (the shingle's place in the node's set, in the global order)."""
     import pyarrow as pa
 
@@ -229,7 +236,7 @@ def index(docs: DataFrame, common) -> DataFrame:
         seen: set[int] = set()
         for batch in in_parts(batches):
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for own in sets(batch.column(0)):
+            for own in sets(batch.column(0), secret):
                 if not len(own) or (node := node_of(own)) in seen:
                     continue
                 seen.add(node)
@@ -348,7 +355,7 @@ def wanted_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(once, "text_key long, text string")
 
 
-def part_bits(docs: DataFrame, wanted: DataFrame, common) -> DataFrame:
+def part_bits(docs: DataFrame, wanted: DataFrame, common, secret: int) -> DataFrame:
     """Of wanted (node, text_key): node, bits0 to bits7: which of 512 values the hashes of the node's shared part take. A bit that only one of two nodes has is a shingle that they do not share."""
     import pyarrow as pa
 
@@ -356,7 +363,7 @@ def part_bits(docs: DataFrame, wanted: DataFrame, common) -> DataFrame:
         values, rank, salts = common.value
         for batch in in_parts(batches):
             found, bits = [], []
-            for own in sets(batch.column(1)):
+            for own in sets(batch.column(1), secret):
                 found.append(node_of(own))
                 some = np.zeros(512, bool)
                 some[(mixed(shared_part(own, values, rank, salts)[0]) >> np.uint64(55)).astype(np.int64)] = True
@@ -438,7 +445,7 @@ class Lists:
         return divide_skip(lists, (-(-SHARE * (len(own) + self.sizes) // OF)).tolist(), -(-SHARE * len(own) // (OF - SHARE)), mu)
 
 
-def search(docs: DataFrame, pairs: DataFrame, keys: DataFrame) -> DataFrame:
+def search(docs: DataFrame, pairs: DataFrame, keys: DataFrame, secret: int) -> DataFrame:
     """Of pairs (query, node, n of the node), those that link: a, b. keys: node, text_key.
 
     The candidates of a query are dealt in blocks of about BLOCK shingles; query and candidates meet as texts.
@@ -466,7 +473,7 @@ def search(docs: DataFrame, pairs: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
 
         for batch in in_parts(batches):
-            for q, block, role, node, x in zip(*[batch.column(k).to_pylist() for k in range(4)], sets(batch.column(4))):
+            for q, block, role, node, x in zip(*[batch.column(k).to_pylist() for k in range(4)], sets(batch.column(4), secret)):
                 if (q, block) != key:
                     yield from found()
                     key, own, nodes, candidates = (q, block), None, [], []
@@ -534,18 +541,19 @@ def mixed_lists(entries: DataFrame, of: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node, text_key) of all documents, and (node, component) of the nodes that link with another."""
     docs = slim(docs, "doc_id", "text")
-    first = saved(first_pass(docs))
+    secret = drawn_secret()
+    first = saved(first_pass(docs, secret))
     documents = first.where("kind = 0").drop("kind")
     keys = documents.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(first.where("kind = 1")))
-    members = saved(led(saved(listed(index(docs, common)))))
+    members = saved(led(saved(listed(index(docs, common, secret)))))
     # what the rest of two sets can have in common behind the shared part of the index bounds the overlap
     larger = F.greatest("n", "lead_n")
     stars = members.where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("many"), F.max(may_link("n", "pos", "lead_n", "lead_pos")).alias("may"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
     reach = F.col("many") + larger - (larger - F.floor((4 * larger + 4) / 5) + 1)
     stars = stars.where(F.col("may") & (OF * reach >= SHARE * (F.col("n") + F.col("lead_n"))))
     best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query"), F.first("n").alias("n")))
-    links = saved(search(docs, best, keys))
+    links = saved(search(docs, best, keys, secret))
     of = saved(components(links))
     # lists whose members still lie apart: first those that are not in the list's most frequent component are searched for by
     # its foremost member, as long as that merges much, and then by each other
@@ -561,13 +569,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         stars = stars.join(tried.withColumnsRenamed({"query": "a", "node": "b"}), ["a", "b"], "left_anti")
         best = saved(stars.groupBy("node").agg(F.max_by("lead", F.struct("many", "lead")).alias("query"), F.first("n").alias("n")))
         tried = tried.unionByName(best.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")))
-        found = saved(search(docs, best, keys))
+        found = saved(search(docs, best, keys, secret))
         if not found.take(1):
             break
         links = links.unionByName(found)
         of = saved(components(links))
         rows = mixed_lists(entries, of)
-    bits = part_bits(docs, rows.select("node").distinct().join(keys, "node"), common)
+    bits = part_bits(docs, rows.select("node").distinct().join(keys, "node"), common, secret)
     rows = saved(rows.join(bits, "node"))
     twos = ("n", "pos", "component", *[f"bits{k}" for k in range(8)])
     apart = rows.where("component != main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("query"), *[F.col(c).alias(f"{c}2") for c in twos])
@@ -582,7 +590,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = rest.join(ends.withColumnsRenamed({"end": end, "pairs": f"{end}_pairs"}), end)
     turn = F.col("query_pairs") >= F.col("node_pairs")
     rest = rest.select(F.when(turn, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(turn, F.col("node")).otherwise(F.col("query")).alias("node"), F.when(turn, F.col("n")).otherwise(F.col("query_n")).alias("n"))
-    more = search(docs, rest, keys)
+    more = search(docs, rest, keys, secret)
     return documents, components(links.unionByName(more))
 
 

@@ -369,6 +369,16 @@ def test_strings_are_sorted_and_compared_like_plain_ones():
     assert suffix_dedup.common_lengths(flat, begin, size, order).tolist() == [len(os.path.commonprefix(x)) for x in zip(got, got[1:])]
 
 
+def test_words_made_to_collide_under_a_known_start_stay_apart(spark):
+    """The pairs have equal hashes if the chain of steps starts at the word's length alone."""
+    solved = [("abcdefghijklmnop", 'gimfmmw9kq"(=>d7')]
+    rows = []
+    for a, b in solved:
+        rows += [(len(rows) + k, t) for k, t in enumerate([a, b, f"one two three four {a}", f"one two three four {b}", f"{a} {a}", f"{a} {b}"])]
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i]["component_id"] == i and got[i]["n_shingles"] == 1 for i, _ in rows)
+
+
 def test_one_byte_texts_null_and_text_ids_lose_repeats(spark, texts):
     rows = [(1, "a" * 4_000_000), (2, "ab" * 1000), (3, None)]
     got = by_id(suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), False))
