@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, spelling, suffix_dedup, token_counts
+from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, periodic, pii, quality_rules, secret_scan, spelling, suffix_dedup, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -62,7 +62,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.word_counts(documents(spark, sf_dir), drop_one_in=199))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op4_secret_scan, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints, op11_spelling)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.with_planted_runs(documents(spark, sf_dir))))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op4_secret_scan, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints, op11_spelling, op13_periodic_runs)}
 
 _SPLIT = r"regexp_split_to_array({}, '[\x20\x09-\x0D]+')"
 _WORDS = "list_filter(" + _SPLIT + ", lambda x: x <> '')"
