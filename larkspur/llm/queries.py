@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, periodic, pii, quality_rules, secret_scan, spelling, suffix_dedup, token_counts
+from larkspur.llm import bpe, fingerprints, jaccard_join, language_id, mixing, periodic, pii, quality_rules, secret_scan, sketch_dedup, spelling, suffix_dedup, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -62,17 +62,34 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.word_counts(documents(spark, sf_dir), drop_one_in=199))
 
 
+def op12_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(periodic.with_planted_runs(documents(spark, sf_dir))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op4_secret_scan, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints, op11_spelling, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_pii, op4_secret_scan, op5_jaccard_join, op6_quality_rules, op7_mixing, op8_bpe_encoding, op9_suffix_dedup, op10_fingerprints, op11_spelling, op12_sketch_dedup, op13_periodic_runs)}
 
 _SPLIT = r"regexp_split_to_array({}, '[\x20\x09-\x0D]+')"
 _WORDS = "list_filter(" + _SPLIT + ", lambda x: x <> '')"
 _STALE = " OR ".join(f"contains(lower(l), '{b}')" for b in quality_rules.BOILERPLATE)
 
+#: One row for each different set of shingles; sets that share a shingle are counted, and links followed to their ends.
+_NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT node, n, unnest(s) AS x FROM n),
+p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {{percent}} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, least) AS (SELECT node, node FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.least = e.a),
+c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id{{more}} FROM s LEFT JOIN n ON n.s = s.s LEFT JOIN c USING (node)"""
+
 ORACLES: dict[str, str] = {
+    "op5_jaccard_join": _NEAR.format(percent=80, more=""),
+    "op12_sketch_dedup": _NEAR.format(percent=85, more=", doc_id = coalesce(component_id, doc_id) AS kept"),
     "op6_quality_rules": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS t(i)),
 r AS (SELECT doc_id, i FROM i QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
