@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators.ordering import global_rank
+from larkspur.operators.ordering import global_rank, percentile_row, running_within
 
 #: Levels of one column that become columns of their own, at most.
 MOST_LEVELS = 1000
@@ -41,7 +41,7 @@ def frequency_codes(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def medians(train: DataFrame, columns: list[str]) -> DataFrame:
-    return train.agg(*[F.percentile(c, 0.5).alias(f"{c}__median") for c in columns])
+    return percentile_row(train, {f"{c}__median": (c, 0.5) for c in columns})
 
 
 def impute_median(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
@@ -106,14 +106,15 @@ def prune_pearson(r: dict[tuple[str, str], float], label: dict[str, float], colu
 
 
 def ranked_within(df: DataFrame, group: list[str], key: str, seed: int, purpose: str, name: str) -> DataFrame:
-    """1, 2, ... in random but repeatable order within each group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(S.draw(seed, purpose, F.col(key)), key)))
+    """1, 2, ... in random but repeatable order within each group, which may be of any size."""
+    out = running_within(df.withColumn("_draw", S.draw(seed, purpose, F.col(key))), group, ["_draw", key], {name: F.lit(1)})
+    return out.drop("_draw").withColumn(name, F.col(name).cast("int"))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """Column is_test: per class, max(1, floor(n * share)) rows."""
-    out = ranked_within(df, [label], key, seed, "split", "_r").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(label)))
-    return out.withColumn("is_test", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
+    out = ranked_within(df, [label], key, seed, "split", "_r").join(F.broadcast(df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))), F.col(label).eqNullSafe(F.col("_label")))
+    return out.withColumn("is_test", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n", "_label")
 
 
 def kfold(df: DataFrame, key: str, k: int, label: str, seed: int = 42) -> DataFrame:

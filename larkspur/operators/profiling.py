@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.ordering import percentile_row
+
 
 def unpivoted(row: DataFrame, columns: list[str], stats: list[str]) -> DataFrame:
     """A row of aggregates named column|stat as one row per column."""
@@ -30,12 +32,13 @@ def missing(df: DataFrame, columns: list[str], numeric: list[str], bound: float
 
 
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows with |z| > 3, rows outside 1.5 interquartile ranges; two passes, the first one's numbers are one row."""
-    stats = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"), F.percentile(c, [0.25, 0.75]).alias(f"{c}__q"))])
-    joined = df.select(*columns).crossJoin(F.broadcast(stats))
+    """column, rows with |z| > 3, rows outside 1.5 interquartile ranges (exact quartiles); what the last pass gets is one row."""
+    stats = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
+    quartiles = percentile_row(df, {f"{c}__q{k}": (c, k / 4) for c in columns for k in (1, 3)})
+    joined = df.select(*columns).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(quartiles))
     aggs = []
     for c in columns:
-        q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
+        q1, q3 = F.col(f"{c}__q1"), F.col(f"{c}__q3")
         aggs += [
             F.count_if(F.abs(F.try_divide(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s"))) > 3).alias(f"{c}|n_z"),
             F.count_if((F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1))).alias(f"{c}|n_iqr"),

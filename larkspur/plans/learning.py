@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import scalars as S
 from larkspur.operators import models as M
 from larkspur.operators import profiling as Q
+from larkspur.operators import trees as T
 from larkspur.operators.ordering import shared_folder
 from larkspur.plans.metrics import rounded
 from larkspur.plans.registry import query, table
@@ -139,8 +140,11 @@ SELECT doc_id, round(avg(y) OVER (PARTITION BY a, b), 6) AS p FROM (SELECT *, co
 
 
 def _tree(spark, sf_dir, kind):
-    df = _labelled(spark, sf_dir)
-    return df.select("doc_id", F.round(M.tree_value(M.grow_tree(df, ["n_chars"], "y", kind, 2)), 6).alias("p"))
+    """Midpoints of all values are tried, whatever their number."""
+    df = _labelled(spark, sf_dir).select("doc_id", "n_chars", "y")
+    tree = T.grow(df, ["n_chars"], "y", kind, 2, tried=0)
+    p = T.predict(df, tree, "p", "shares")
+    return p.select("doc_id", F.round(F.col("p") if tree.classes is None else F.col("shares")[tree.classes.index(1.0)], 6).alias("p"))
 
 
 @query(_tree_sql(f"{_g('ts', 'tn')} - ln / tn * {_g('ls', 'ln')} - rn / tn * {_g('rs', 'rn')}"))

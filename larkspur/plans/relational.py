@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
 from larkspur.operators import relational as R
+from larkspur.operators.ordering import percentile_row
 from larkspur.plans.registry import query, table
 
 def many():
@@ -148,7 +149,7 @@ def dedupe_first(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice BETWEEN (SELECT quantile_cont(l_extendedprice, 0.01) FROM lineitem) AND (SELECT quantile_cont(l_extendedprice, 0.99) FROM lineitem)""")
 def quantile_trim(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    bounds = df.agg(F.percentile("l_extendedprice", 0.01).alias("a"), F.percentile("l_extendedprice", 0.99).alias("b"))
+    bounds = percentile_row(df, {"a": ("l_extendedprice", 0.01), "b": ("l_extendedprice", 0.99)})
     return df.crossJoin(F.broadcast(bounds)).where(F.col("l_extendedprice").between(F.col("a"), F.col("b"))).drop("a", "b")
 
 
