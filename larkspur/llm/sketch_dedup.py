@@ -11,7 +11,7 @@ none); two documents link when 100 * intersection >= percent * union. Sets are h
 3. A list has one leader, the member that has its value earliest, and gives pairs of leader and member; a node is
    compared with the leader that it overlaps with most. Links are merged into components. Lists whose members still lie
    in several components are taken up again: those outside the list's main component meet one member of it, for ROUNDS
-   rounds, and then, in bounds that 512 bits of each sketch give, each member of other components. So a group of
+   rounds, and then, in bounds that BITS bits of each sketch give, each member of other components. So a group of
    copies of one document costs a pair for each of them, not all pairs, and no link between components is left out.
 4. Pairs are dealt by one of the two nodes, in blocks. The sketch of their union (the KEPT least of both) estimates
    the Jaccard likeness, and pairs under `least_shared` go. Where both sketches are whole sets, the count is exact and
@@ -41,15 +41,17 @@ from larkspur.llm.jaccard_join import common_shingles, components, drawn_secret,
 #: Values of a sketch, and the odds that a link of the least likeness is not seen in sketches.
 KEPT, ODDS = 256, 1e-12
 PERCENT = 85
+#: Bits that tell which values a sketch may have.
+BITS = 1024
 #: Candidates of a node that are compared in one block.
 BLOCK = 2000
 #: Rounds in which members of a list meet one member of its main component before they meet each other.
 ROUNDS = 2
 
 
-def least_shared(percent: int, kept: int, odds: float = ODDS) -> int:
-    """The most c for which fewer than c of kept values, each in both sets with the chance percent / 100, have the given odds at most."""
-    p, below = percent / 100, 0.0
+def least_shared(p: float, kept: int, odds: float = ODDS) -> int:
+    """The most c for which fewer than c of kept values, each with the chance p, have the given odds at most."""
+    below = 0.0
     for c in range(kept + 1):
         below += math.comb(kept, c) * p**c * (1 - p) ** (kept - c)
         if below > odds:
@@ -72,9 +74,9 @@ def in_order(sketch: np.ndarray, values: np.ndarray, rank: np.ndarray) -> np.nda
 
 
 def bits_of(sketch: np.ndarray) -> np.ndarray:
-    """Which of 512 values the sketch's hashes take in their lowest bits, as eight numbers."""
-    some = np.zeros(512, bool)
-    some[(sketch & np.uint64(511)).astype(np.int64)] = True
+    """Which of BITS values the sketch's hashes take in their lowest bits."""
+    some = np.zeros(BITS, bool)
+    some[(sketch & np.uint64(BITS - 1)).astype(np.int64)] = True
     return np.packbits(some).view(np.int64)
 
 
@@ -82,7 +84,7 @@ def sketches(docs: DataFrame, common, secret: int, percent: int) -> DataFrame:
     """node, n, least (see `least_of`), bits, sketch (in the lists' order) of each set; a node comes once from each task that has it."""
     import pyarrow as pa
 
-    of_cut = least_shared(percent, KEPT)
+    of_cut = least_shared(percent / 100, KEPT)
 
     def run(batches):
         values, rank, _ = common.value
@@ -100,7 +102,7 @@ def sketches(docs: DataFrame, common, secret: int, percent: int) -> DataFrame:
             if nodes:
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int64)))
-                eight = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * 8), pa.array(np.concatenate(bits)))
+                eight = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int32()), pa.array(least, pa.int32()), eight, sketch], names=["node", "n", "least", "bits", "sketch"])
 
     return docs.select("text").mapInArrow(run, "node long, n int, least int, bits array<long>, sketch array<long>")
@@ -113,18 +115,27 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.select("node", "n", "least", size.alias("size"), F.posexplode(part).alias("pos", "value")).select("value", "node", "n", "least", (F.col("size") - F.col("pos")).alias("left"))
 
 
+def needed(a: str, b: str, percent: int) -> Column:
+    """How many values the sketches of two linked sets (with these endings of column names) must share: what the overlap says if both are whole
+    sets. Else a value of the larger set's sketch is in both with the share of the overlap in that set, which grows as sizes come together."""
+    n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
+    least = F.array(*[F.lit(least_shared(percent * (100 + ratio) / 100 / (100 + percent), KEPT)) for ratio in range(percent, 101)])
+    ratio = F.greatest(F.lit(0), F.floor(100 * F.least(n, m) / F.greatest(n, m)) - percent).cast("int")
+    return F.when(F.greatest(n, m) <= KEPT, F.ceil(percent * (n + m) / (100 + percent))).otherwise(F.get(least, ratio))
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether two entries of one list (with these endings of column names) can be the first common value of two linked sets."""
+    """Whether two entries of one list can be the first common value of two linked sets."""
     n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
     alike = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return alike & (F.least(F.col(f"left{a}"), F.col(f"left{b}")) >= F.greatest(F.col(f"least{a}"), F.col(f"least{b}")))
+    return alike & (F.least(F.col(f"left{a}"), F.col(f"left{b}")) >= needed(a, b, percent))
 
 
-def bits_allow(a: str, b: str) -> Column:
+def bits_allow(a: str, b: str, percent: int) -> Column:
     """Whether the bits of two sketches leave room for the values that they must share: a bit that only one has is a value that the other lacks."""
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"bits{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"bits{y}")[k]))) for k in range(1, 8)), F.bit_count(F.col(f"bits{x}")[0].bitwiseAND(F.bitwise_not(F.col(f"bits{y}")[0]))))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"bits{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"bits{y}")[k]))) for k in range(1, BITS // 64)), F.bit_count(F.col(f"bits{x}")[0].bitwiseAND(F.bitwise_not(F.col(f"bits{y}")[0]))))
     size = lambda x: F.least(F.col(f"n{x}"), F.lit(KEPT))
-    return F.least(size(a) - lacks(a, b), size(b) - lacks(b, a)) >= F.greatest(F.col(f"least{a}"), F.col(f"least{b}"))
+    return F.least(size(a) - lacks(a, b), size(b) - lacks(b, a)) >= needed(a, b, percent)
 
 
 def front_of(rows: DataFrame) -> DataFrame:
@@ -170,7 +181,7 @@ def estimated(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (query, node) that the sketches of their unions leave: query, node, sure (whether both are whole sets, so that the link is certain)."""
     import pyarrow as pa
 
-    of_cut = least_shared(percent, KEPT)
+    of_cut = least_shared(percent / 100, KEPT)
     sent = dealt(pairs).join(rows.select("node", "n", "sketch"), "node").select("query", "block", "role", "node", "n", "sketch")
     sent = sent.repartition("query", "block").sortWithinPartitions("query", "block", "role", "node")
 
@@ -252,7 +263,7 @@ def rest_of(rows: DataFrame, tried: DataFrame, sketch_rows: DataFrame, percent:
     bits = sketch_rows.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     rows = saved(rows.join(bits, "node"))
     apart = rows.where("component != main").select("value", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "least", "left", "component", "bits")])
-    rest = apart.join(rows.drop("main"), "value").where((F.col("component") != F.col("component2")) & may_link("", "2", percent) & bits_allow("", "2"))
+    rest = apart.join(rows.drop("main"), "value").where((F.col("component") != F.col("component2")) & may_link("", "2", percent) & bits_allow("", "2", percent))
     rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = saved(rest)
     # of two nodes the one with more pairs is the query, so that few sketches are sent often

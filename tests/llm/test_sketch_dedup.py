@@ -110,7 +110,7 @@ def test_null_repeated_and_text_ids(spark, rows):
 
 
 def test_sketch_bounds():
-    assert sketch_dedup.least_shared(85, 256) == next(c for c in range(257) if sum(math.comb(256, k) * 0.85**k * 0.15 ** (256 - k) for k in range(c + 1)) > 1e-12)
+    assert sketch_dedup.least_shared(0.85, 256) == next(c for c in range(257) if sum(math.comb(256, k) * 0.85**k * 0.15 ** (256 - k) for k in range(c + 1)) > 1e-12)
     rnd = np.random.default_rng(1)
     for _ in range(300):
         base = rnd.integers(0, 1 << 62, 700, dtype=np.uint64)
@@ -123,7 +123,7 @@ def test_sketch_bounds():
         union = np.union1d(a, b)[:256]
         assert sketch_dedup.shared_in_union(x, y, 256) == (np.isin(union, x) & np.isin(union, y)).sum()
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            least = max(sketch_dedup.least_of(len(s), 85, sketch_dedup.least_shared(85, 256)) for s in (a, b))
+            least = max(sketch_dedup.least_of(len(s), 85, sketch_dedup.least_shared(0.85, 256)) for s in (a, b))
             assert len(np.intersect1d(x, y)) >= least
             order = lambda s: set(s[: len(s) - least + 1].tolist())  # noqa: E731  both in one order
             assert order(x) & order(y)
