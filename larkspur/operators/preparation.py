@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators.ordering import global_rank, percentile_row, running_within
+from larkspur.operators.neighbors import nearest
+from larkspur.operators.ordering import global_rank, percentile_row, running_within, saved
 
 #: Levels of one column that become columns of their own, at most.
 MOST_LEVELS = 1000
@@ -150,19 +151,10 @@ def balanced_bootstrap(df: DataFrame, label: str, key: str, replicates: int, see
     return drawn.unionByName(rest)
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int, label: str | None = None) -> DataFrame:
-    """(key, other, rank): the k nearest other rows, of the same label if there is one. A part of the table that fits the label; for the minority class of resampling."""
-    a = df.select(F.col(key).alias("key"), F.col(vector).alias("v"), *([F.col(label).alias("label")] if label else []))
-    b = a.select(F.col("key").alias("other"), F.col("v").alias("w"), *([F.col("label").alias("label2")] if label else []))
-    on = (F.col("key") != F.col("other")) & ((F.col("label") == F.col("label2")) if label else F.lit(True))
-    w = Window.partitionBy("key").orderBy(F.round("d", 9), "other")
-    return a.join(b, on).withColumn("d", S.squared_distance(F.col("v"), F.col("w"))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("key", "other", "rank")
-
-
 def smote(df: DataFrame, key: str, vector: str, label: str, minority, n_new: int, k: int = 5, seed: int = 42) -> DataFrame:
     """n_new synthetic rows of a class: a drawn row, moved towards a drawn neighbour. With no neighbour, a copy."""
     own = df.where(F.col(label) == minority).select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    near = neighbours(own, "key", "v", k)
+    near = saved(nearest(own, own, "key", "v", k).select(F.col("query").alias("key"), F.col("key").alias("other"), "rank"))
     numbered = global_rank(own, ["key"], "_k")
     total = own.agg(F.count(F.lit(1)).alias("_n"))
     many = near.groupBy("key").agg(F.max("rank").alias("_near"))

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.operators import models as M
+from larkspur.operators import neighbors as N
 from larkspur.operators import trees as T
+from larkspur.operators import validation as V
+from larkspur.plans.learning import vectors
+from larkspur.plans.metrics import TRIPLE, triple
+from larkspur.plans.preparation import UNIT
 from larkspur.plans.registry import query, table
 
 
@@ -67,3 +73,102 @@ def tree_with_nulls(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"), (F.col("user_id") % 50).alias("group"), (F.col("event_id") % 7).alias("day"), F.col("event_type").isin("purchase", "signup").cast("int").alias("y"))
     out = T.predict(T.leaf(e, tree := T.grow(e, ["value", "group", "day"], "y", "gini", 2)), tree, "prediction", "shares")
     return out.select("event_id", "leaf", "prediction", F.round(F.array_max("shares"), 6).alias("share"))
+
+
+PENALTIES = [0.0, 1.0, 100.0, 10000.0]
+
+
+@query(f"""WITH d AS (SELECT (l_orderkey % 5)::INT AS fold, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem), p AS (SELECT unnest({PENALTIES}::DOUBLE[]) AS penalty),
+s AS (SELECT f.fold, count(*)::BIGINT AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS "by" FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+w AS (SELECT *, n + penalty AS g, n * ab / (sa * sb) AS h, n * ay / sa AS u, n * "by" / sb AS v FROM s, p),
+c AS (SELECT *, (g * u - h * v) / (g * g - h * h) AS wa, (g * v - h * u) / (g * g - h * h) AS wb FROM w)
+SELECT c.fold, c.penalty, c.n AS n_train, count(*)::BIGINT AS n_test, round(avg((y - my - wa * (a - ma) / sa - wb * (b - mb) / sb) ** 2), 6) AS mse FROM c JOIN d USING (fold) GROUP BY c.fold, c.penalty, c.n""")
+def cv_ridge(spark, sf_dir):
+    """Five folds that keep orders together, four penalties, features scaled by each fold's training rows."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).cast("int").alias("fold"), "l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("y"))
+    return V.cross_validate(df, ["l_quantity", "l_discount"], "y", "fold", PENALTIES).withColumn("mse", F.round("mse", 6))
+
+
+RATE, STEPS, LAM = 0.5, 5, 0.01
+
+
+def _logistic_sql():
+    classes, xs = ["A", "N", "R"], ["1.0", "a", "b"]
+    sig = lambda k: f"1 / (1 + exp(-(w{k}0 + w{k}1 * a + w{k}2 * b)))"
+    parts = ["d AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE / 50 AS a, l_discount::DOUBLE * 10 AS b, l_returnflag AS y FROM lineitem)", "s0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS w{k}{j}" for k in range(3) for j in range(3)) + ")"]
+    for t in range(STEPS):
+        moved = ", ".join(f"any_value(w{k}{j}) - {RATE} * (avg(({sig(k)} - (y = '{c}')::INT) * {x}) + {LAM if j else 0} * any_value(w{k}{j})) AS w{k}{j}" for k, c in enumerate(classes) for j, x in enumerate(xs))
+        parts.append(f"s{t + 1} AS (SELECT {moved} FROM d, s{t})")
+    parts.append("o AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{sig(k)} AS p{k}" for k in range(3)) + f" FROM d, s{STEPS})")
+    return f"WITH {', '.join(parts)} SELECT l_orderkey, l_linenumber, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'A' WHEN p1 >= p2 THEN 'N' ELSE 'R' END AS prediction, " + ", ".join(f"round(p{k} / (p0 + p1 + p2), 6) AS p_{c}" for k, c in enumerate("anr")) + " FROM o"
+
+
+@query(_logistic_sql())
+def logistic_ovr(spark, sf_dir):
+    """Three classes, a fixed number of steps."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), "l_returnflag")
+    out = V.Logistic(df, ["a", "b"], "l_returnflag", RATE, STEPS, LAM).predict(df)
+    return out.select("l_orderkey", "l_linenumber", "prediction", *[F.round(F.col("shares")[k], 6).alias(f"p_{c}") for k, c in enumerate("anr")])
+
+
+@query()
+def krr_ovr(spark, sf_dir):
+    """A kernel ridge for each label from one factorisation; `fitted_on` is the number of sampled rows."""
+    e = vectors(spark, sf_dir)
+    model, classes, used = V.kernel_ridge_classes(e, "vec_id", "v", "label", M.rbf(1 / 128), rows=1000)
+    return model.apply(e, "v", "scores").select("vec_id", V.class_of_scores("scores", classes).alias("prediction"), F.round(F.array_max("scores"), 6).alias("score"), F.lit(used).alias("fitted_on"))
+
+
+NEWTON = 8
+
+
+def _sigmoid_sql():
+    """The Newton steps of three sigmoids, unrolled."""
+    names = list(zip(range(3), "fop", ("F", "O", "P")))
+    parts = [TRIPLE.removeprefix("WITH "), "d AS (SELECT * FROM t WHERE o_orderkey % 2 = 0)", "n AS (SELECT count(*)::DOUBLE AS n, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{c}')::DOUBLE AS n{k}" for k, _, c in names) + " FROM d)"]
+    parts.append("z0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS a{k}, ln((n{k} + 1) / (n - n{k} + 1)) AS b{k}" for k, _, _ in names) + " FROM n)")
+    for t in range(NEWTON):
+        p = lambda k, s: f"(1 / (1 + exp(-(a{k} * {s} + b{k}))))"
+        sums = ", ".join(
+            f"any_value(a{k}) AS a{k}, any_value(b{k}) AS b{k}, sum({p(k, s)} - y{k}) AS e{k}, sum(({p(k, s)} - y{k}) * {s}) AS es{k}, sum({p(k, s)} * (1 - {p(k, s)})) + 1e-12 AS w{k}, sum({p(k, s)} * (1 - {p(k, s)}) * {s}) AS ws{k}, sum({p(k, s)} * (1 - {p(k, s)}) * {s} * {s}) + 1e-12 AS wss{k}"
+            for k, s, _ in names
+        )
+        targets = ", ".join(f"CASE WHEN o_orderstatus = '{c}' THEN (n{k} + 1) / (n{k} + 2) ELSE 1 / (n - n{k} + 2) END AS y{k}" for k, _, c in names)
+        parts.append(f"q{t} AS (SELECT {sums} FROM (SELECT d.*, {targets} FROM d, n), z{t})")
+        parts.append(f"z{t + 1} AS (SELECT " + ", ".join(f"a{k} - (w{k} * es{k} - ws{k} * e{k}) / (w{k} * wss{k} - ws{k} * ws{k}) AS a{k}, b{k} - (wss{k} * e{k} - ws{k} * es{k}) / (w{k} * wss{k} - ws{k} * ws{k}) AS b{k}" for k, _, _ in names) + f" FROM q{t})")
+    parts.append("c AS (SELECT o_orderkey, " + ", ".join(f"1 / (1 + exp(-(a{k} * {s} + b{k}))) AS c{k}" for k, s, _ in names) + f" FROM t, z{NEWTON})")
+    parts.append("g AS (SELECT o_orderkey, " + ", ".join(f"greatest(0.005, c{k} / (c0 + c1 + c2)) AS g{k}" for k, _, _ in names) + " FROM c)")
+    return f"WITH {', '.join(parts)} SELECT o_orderkey, " + ", ".join(f"round(g{k} / (g0 + g1 + g2), 6) AS {s}" for k, s, _ in names) + " FROM g"
+
+
+@query(_sigmoid_sql())
+def calibrate_sigmoid(spark, sf_dir):
+    """Shares of three classes, each calibrated against the rest on half of the orders."""
+    df = triple(spark, sf_dir).select("o_orderkey", "o_orderstatus", "f", "o", "p")
+    fit = V.Sigmoids(df.where("o_orderkey % 2 = 0"), ["f", "o", "p"], "o_orderstatus", ["F", "O", "P"], NEWTON)
+    return df.select("o_orderkey", *[F.round(c, 6).alias(n) for n, c in zip("fop", V.floored(fit.apply()))])
+
+
+DIMS = 4
+
+
+@query(f"""WITH e AS (SELECT vec_id AS key, label, list_transform(range(1, {DIMS + 1}), lambda i: embedding[i]::DOUBLE * 10 ** i) AS v FROM embeddings), s AS (SELECT [{", ".join(f"stddev_pop(v[{i}])" for i in range(1, DIMS + 1))}] AS sd FROM e),
+n AS (SELECT label, count(*) AS n FROM e GROUP BY 1), t AS (SELECT *, (SELECT max(n) FROM n) - n AS need FROM n), own AS (SELECT key, label, v, list_transform(list_zip(v, sd), lambda z: z[1] / z[2]) AS z, row_number() OVER (PARTITION BY label ORDER BY key) AS k FROM e JOIN t USING (label), s WHERE need > 0),
+d AS (SELECT a.key AS base, b.key AS other, row_number() OVER (PARTITION BY a.key ORDER BY round(list_sum(list_transform(list_zip(a.z, b.z), lambda z: (z[1] - z[2]) ** 2)), 9), b.key) AS rank FROM own a JOIN own b ON a.label = b.label AND a.key <> b.key),
+new AS (SELECT label, n, unnest(range(1, need + 1)) AS new_id FROM t WHERE need > 0), p AS (SELECT *, floor({UNIT(42, "base", "label", "new_id")} * n) + 1 AS k, floor({UNIT(42, "near", "label", "new_id")} * least(5, n - 1)) + 1 AS rank, {UNIT(42, "step", "label", "new_id")} AS step FROM new)
+SELECT p.label, new_id, a.key AS base, b.key AS other, round(a.v[1] + step * (coalesce(b.v[1], a.v[1]) - a.v[1]), 6) AS first, round(a.v[4] + step * (coalesce(b.v[4], a.v[4]) - a.v[4]), 4) AS last
+FROM p JOIN own a ON a.label = p.label AND a.k = p.k LEFT JOIN d ON d.base = a.key AND d.rank = p.rank LEFT JOIN own b ON b.key = d.other""")
+def smote_scaled(spark, sf_dir):
+    """Every smaller label is filled up; neighbours are sought with dimensions of very different widths scaled."""
+    v = F.array(*[F.col("embedding")[i].cast("double") * F.pow(F.lit(10.0), F.lit(i + 1)) for i in range(DIMS)])
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", v.alias("v"))
+    return N.smote_scaled(e, "vec_id", "v", "label").select("label", "new_id", "base", "other", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[3], 4).alias("last"))
+
+
+@query("""WITH d AS (SELECT event_id AS key, event_type AS label, round(value, 1) AS x, (user_id % 5)::DOUBLE AS y FROM events WHERE value IS NOT NULL),
+n AS (SELECT a.key AS query, b.key, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 9) AS d FROM d a JOIN d b ON a.label = b.label AND a.key <> b.key)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, key)::INT AS rank FROM n QUALIFY rank <= 3""")
+def nearest_rows(spark, sf_dir):
+    """Each event's three nearest events of its type: all rows against all rows, many of them with equal values."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", "event_type", F.array(F.round("value", 1), (F.col("user_id") % 5).cast("double")).alias("v"))
+    return N.nearest(e, e, "event_id", "v", 3, "event_type")
