@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
+from larkspur.operators.concordance import kendall_value
 from larkspur.operators.neighbors import nearest
 from larkspur.operators.ordering import global_rank, percentile_row, running_within, saved
 
@@ -75,13 +76,16 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of two columns of few distinct values: pairs are counted over distinct pairs of values, not over rows."""
-    g = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    a, b = g.alias("a"), F.broadcast(g.alias("b"))
-    pairs = a.crossJoin(b)
-    sx, sy, n = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y")), F.col("a.n") * F.col("b.n")
-    s = pairs.agg(F.sum(sx * sy * n).alias("s"), F.sum(sx * sx * n).alias("p"), F.sum(sy * sy * n).alias("q"))
-    return s.select(F.coalesce(F.try_divide(F.col("s"), F.sqrt(F.col("p") * F.col("q"))), F.lit(0.0)).alias("tau"))
+    """Kendall's tau-b of two columns (see `concordance`), one row."""
+    return df.sparkSession.createDataFrame([(kendall_value(df, x, y),)], "tau double")
+
+
+def kendall_kept(df: DataFrame, columns: list[str], label: str, bound: float = 0.5) -> DataFrame:
+    """column, tau_label, kept: which columns `prune_kendall` leaves, with each one's tau with the label. A few counts a pair of columns; rows stay where they are."""
+    tau = {(a, b): kendall_value(df, a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]}
+    with_label = {c: kendall_value(df, c, label) for c in columns}
+    kept = prune_kendall(tau, columns, with_label, bound)
+    return df.sparkSession.createDataFrame([(c, with_label[c], c in kept) for c in columns], "column string, tau_label double, kept boolean")
 
 
 def prune_kendall(tau: dict[tuple[str, str], float], columns: list[str], label: dict[str, float], bound: float = 0.5) -> list[str]:

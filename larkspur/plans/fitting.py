@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import models as M
 from larkspur.operators import neighbors as N
+from larkspur.operators import preparation as P
 from larkspur.operators import trees as T
 from larkspur.operators import validation as V
 from larkspur.plans.learning import vectors
@@ -172,3 +173,18 @@ def nearest_rows(spark, sf_dir):
     """Each event's three nearest events of its type: all rows against all rows, many of them with equal values."""
     e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", "event_type", F.array(F.round("value", 1), (F.col("user_id") % 5).cast("double")).alias("v"))
     return N.nearest(e, e, "event_id", "v", 3, "event_type")
+
+
+def _tau_sql(a, b):
+    return f"(WITH g AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2), s AS (SELECT sum(sign(a.x - b.x)::DOUBLE * sign(a.y - b.y) * a.n * b.n) AS s, sum(abs(sign(a.x - b.x)) * a.n * b.n) AS p, sum(abs(sign(a.y - b.y)) * a.n * b.n) AS q FROM g a, g b) SELECT s / sqrt(p * q) FROM s)"
+
+
+@query(f"""WITH d AS (SELECT l_quantity AS a, floor(l_quantity / 10) + l_linenumber % 2 AS b, round(l_discount * 100) AS c, floor(l_extendedprice / 2000) AS y FROM lineitem),
+t AS (SELECT {", ".join(f"{_tau_sql(x, z)} AS {x}{z}" for x, z in ("ab", "ac", "bc", "ay", "by", "cy"))}), f AS (SELECT *, abs(ab) > 0.5 AS p, abs(ac) > 0.5 AS q, abs(bc) > 0.5 AS r, abs(ay) AS la, abs("by") AS lb, abs(cy) AS lc FROM t),
+g AS (SELECT *, p AND la < lb AS oa1, p AND la >= lb AS ob1 FROM f), h AS (SELECT *, oa1 OR (q AND la < lc) AS oa, NOT oa1 AND q AND la >= lc AS oc1 FROM g),
+i AS (SELECT *, ob1 OR (NOT oc1 AND r AND lb < lc) AS ob, oc1 OR (NOT ob1 AND r AND lb >= lc) AS oc FROM h)
+SELECT 'a' AS "column", round(ay, 6) AS tau_label, NOT oa AS kept FROM i UNION ALL SELECT 'b', round("by", 6), NOT ob FROM i UNION ALL SELECT 'c', round(cy, 6), NOT oc FROM i""")
+def prune_kendall(spark, sf_dir):
+    """Of columns that go together, the one closer to the label stays."""
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.floor(F.col("l_quantity") / 10) + F.col("l_linenumber") % 2).alias("b"), F.round(F.col("l_discount") * 100).alias("c"), F.floor(F.col("l_extendedprice") / 2000).alias("y"))
+    return P.kendall_kept(df, ["a", "b", "c"], "y").withColumn("tau_label", F.round("tau_label", 6))
