@@ -11,7 +11,7 @@ none); two documents link when 100 * intersection >= percent * union. Sets are h
 3. A list has one leader, the member that has its value earliest, and gives pairs of leader and member; a node is
    compared with the leader that it overlaps with most. Links are merged into components. Lists whose members still lie
    in several components are taken up again: those outside the list's main component meet one member of it, for ROUNDS
-   rounds, and then, in bounds that BITS bits of each sketch give, each member of other components. So a group of
+   rounds, and then, in the list of the first value that both have and in bounds that BITS bits of each sketch give, each member of other components. So a group of
    copies of one document costs a pair for each of them, not all pairs, and no link between components is left out.
 4. Pairs are dealt by one of the two nodes, in blocks. The sketch of their union (the KEPT least of both) estimates
    the Jaccard likeness, and pairs under `least_shared` go. Where both sketches are whole sets, the count is exact and
@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import in_parts, saved, slim
+from larkspur.llm.common import in_parts, saved, shuffles_cleared, slim
 from larkspur.llm.jaccard_join import common_shingles, components, drawn_secret, first_pass, node_of, sets, wanted_texts, with_hubs
 
 #: Values of a sketch, and the odds that a link of the least likeness is not seen in sketches.
@@ -46,7 +46,7 @@ BITS = 1024
 #: Candidates of a node that are compared in one block.
 BLOCK = 2000
 #: Rounds in which members of a list meet one member of its main component before they meet each other.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def least_shared(p: float, kept: int, odds: float = ODDS) -> int:
@@ -138,16 +138,16 @@ def bits_allow(a: str, b: str, percent: int) -> Column:
     return F.least(size(a) - lacks(a, b), size(b) - lacks(b, a)) >= needed(a, b, percent)
 
 
-def front_of(rows: DataFrame) -> DataFrame:
-    """The foremost member of each list: value, node1, n1, least1, left1."""
+def front_of(rows: DataFrame, several: bool = False) -> DataFrame:
+    """The foremost member of each list (of those with several members, if that is asked for): value, node1, n1, least1, left1."""
     first = F.min_by(F.struct("node", "n", "least", "left"), F.struct((-F.col("left") / F.least("n", F.lit(KEPT))).alias("late"), "node"))
-    return rows.groupBy("value").agg(first.alias("x")).select("value", *[F.col(f"x.{c}").alias(f"{c}1") for c in ("node", "n", "least", "left")])
+    front = rows.groupBy("value").agg(first.alias("x"), F.min("node").alias("low"), F.max("node").alias("high"))
+    return (front.where("low <> high") if several else front).select("value", *[F.col(f"x.{c}").alias(f"{c}1") for c in ("node", "n", "least", "left")])
 
 
-def best_pairs(rows: DataFrame, front: DataFrame, percent: int, tried: DataFrame | None = None) -> DataFrame:
-    """Each node of the lists with the one of their foremost members that it meets in most lists: query, node."""
-    met = rows.join(front, "value").where((F.col("node") != F.col("node1")) & may_link("", "1", percent))
-    met = met.groupBy("node", "node1").agg(F.count(F.lit(1)).alias("many"))
+def best_pairs(met: DataFrame, percent: int, tried: DataFrame | None = None) -> DataFrame:
+    """Of entries with the foremost member of their list, each node with the one of those that it meets in most lists: query, node."""
+    met = met.where((F.col("node") != F.col("node1")) & may_link("", "1", percent)).groupBy("node", "node1").agg(F.count(F.lit(1)).alias("many"))
     if tried is not None:
         met = met.withColumns({"a": F.least("node", "node1"), "b": F.greatest("node", "node1")}).join(tried, ["a", "b"], "left_anti")
     return met.groupBy("node").agg(F.max_by("node1", F.struct("many", "node1")).alias("query"))
@@ -260,10 +260,12 @@ def mixed_lists(lists: DataFrame, of: DataFrame) -> DataFrame:
 
 def rest_of(rows: DataFrame, tried: DataFrame, sketch_rows: DataFrame, percent: int) -> DataFrame:
     """Of mixed lists, the pairs of different components that were not compared and that the bits of their sketches allow: query, node."""
-    bits = sketch_rows.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    rows = saved(rows.join(bits, "node"))
-    apart = rows.where("component != main").select("value", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "least", "left", "component", "bits")])
-    rest = apart.join(rows.drop("main"), "value").where((F.col("component") != F.col("component2")) & may_link("", "2", percent) & bits_allow("", "2", percent))
+    known = sketch_rows.select("node", "bits", "sketch").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = rows.join(known, "node").withColumn("before", F.slice("sketch", F.lit(1), F.size("sketch") - F.col("left"))).drop("sketch")
+    rows = saved(rows)
+    apart = rows.where("component != main").select("value", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "least", "left", "component", "bits", "before")])
+    first = ~F.arrays_overlap("before", "before2")  # two sketches have one order, so a pair leaves one list only
+    rest = apart.join(rows.drop("main"), "value").where((F.col("component") != F.col("component2")) & may_link("", "2", percent) & bits_allow("", "2", percent) & first)
     rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = saved(rest)
     # of two nodes the one with more pairs is the query, so that few sketches are sent often
@@ -283,15 +285,15 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(first.where("kind = 1")))  # 16 MB at most
     rows = saved(sketches(docs, common, secret, percent))
     found = entries(rows)
-    alone = found.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("value")
-    lists = saved(found.join(alone, "value"))
-    pairs = saved(best_pairs(lists, front_of(lists), percent))
+    met = saved(found.join(front_of(found, several=True), "value"))
+    lists = met.select("value", "node", "n", "least", "left")
+    pairs = saved(best_pairs(met, percent))
     tried = both_ways(pairs)
     links = links_of(docs, pairs, rows, keys, secret, percent)
     of = saved(components(links))
     mixed = mixed_lists(lists, of)
     for _ in range(ROUNDS):
-        pairs = saved(best_pairs(mixed.where("component != main"), front_of(mixed.where("component = main")), percent, tried))
+        pairs = saved(best_pairs(mixed.where("component != main").join(front_of(mixed.where("component = main")), "value"), percent, tried))
         tried = tried.unionByName(both_ways(pairs))
         more = links_of(docs, pairs, rows, keys, secret, percent)
         if not more.take(1):
@@ -307,7 +309,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), kept (whether it is that one)."""
-    rows, nodes = classes(docs, percent)
+    with shuffles_cleared(docs.sparkSession):
+        rows, nodes = classes(docs, percent)
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = with_hubs(nodes, nodes.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     out = with_hubs(rows.where("n > 0"), saved(named), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
