@@ -40,3 +40,38 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM windowed").first()[0] == 40
+
+
+def plain_sessions(rows, gap):
+    out = []
+    for who, t, v in sorted(rows):
+        if out and out[-1][0] == who and t - out[-1][2] < gap:
+            out[-1] = (who, out[-1][1], t, out[-1][3] + 1, out[-1][4] + v)
+        else:
+            out.append((who, t, t, 1, v))
+    return sorted((who, a, b + gap, n, v) for who, a, b, n, v in out)
+
+
+def test_sessions_go_on_over_steps_of_the_stream(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(rnd.randint(0, 3), rnd.randint(0, 5000), 1.0) for _ in range(150)]
+    events = spark.createDataFrame(rows, "who int, s int, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for parts in (1, 3):
+        got = replay.finished(lambda e: replay.sessions(e, "ts", ["who"], "value", "90 seconds"), events, "ts", parts).where("who IS NOT NULL")
+        assert sorted((r["who"], r["start"].timestamp(), r["end"].timestamp(), r["n"], r["total"]) for r in got.collect()) == plain_sessions(rows, 90)
+
+
+def test_sliding_windows_count_a_row_in_each_and_tables_at_rest_are_looked_up(spark):
+    events = spark.createDataFrame([(i % 2, i * 60, float(i)) for i in range(30)], "who int, s int, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = replay.finished(lambda e: replay.sliding(e, "ts", ["who"], "value", "10 minutes", "5 minutes"), events, "ts").where("who IS NOT NULL")
+    assert got.agg(F.sum("n")).first()[0] == 60 and got.agg(F.max("n")).first()[0] == 5
+    names = spark.createDataFrame([(0, "even")], "id int, name string")
+    got = replay.finished(lambda e: replay.windowed(replay.enriched(e, names, "who", "id", ["name"]), "ts", ["who", "name"], "value", "1 hour"), events, "ts").where("who IS NOT NULL")
+    assert sorted((r["who"], r["name"], r["n"]) for r in got.collect()) == [(0, "even", 15), (1, None, 15)]
+
+
+def test_a_stream_without_rows_ends(spark):
+    events = spark.createDataFrame([], "who int, value double, ts timestamp")
+    assert replay.finished(lambda e: replay.sessions(e, "ts", ["who"], "value"), events, "ts").count() == 0
