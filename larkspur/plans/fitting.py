@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import models as M
 from larkspur.operators import neighbors as N
 from larkspur.operators import preparation as P
+from larkspur.operators import shrinkage as H
 from larkspur.operators import trees as T
 from larkspur.operators import validation as V
 from larkspur.plans.learning import vectors
@@ -15,8 +16,9 @@ from larkspur.plans.preparation import UNIT
 from larkspur.plans.registry import query, table
 
 
-def tree_sql(source: str, keys: str, depth: int, classes: list[str] | None) -> str:
-    """Unrolled growth of a tree over `source` (keys, x: a list of features, y): by Gini's impurity over the classes or, without them, by variance.
+def tree_parts(source: str, depth: int, classes: list[str] | None, to: str = "", train: str = "true") -> list[str]:
+    """Unrolled growth of a tree over `source` (keys, x: a list of features, y), as tables up to r<depth><to>: by Gini's impurity over the classes or, without them,
+    by variance. Only rows that `train` says are grown on; all are led to their leaves.
 
     A feature with over 20 values in a node is tried at 15 percentiles, others at all midpoints; five rows to split, two to a leaf.
     """
@@ -26,17 +28,22 @@ def tree_sql(source: str, keys: str, depth: int, classes: list[str] | None) -> s
     else:
         sums = {"s0": "coalesce(sum(y) FILTER (WHERE true {}), 0)", "s1": "coalesce(sum(y * y) FILTER (WHERE true {}), 0)"}
         loss = lambda end, n: f"(s1{end} / {n} - (s0{end} / {n}) ** 2)"
-    parts = [f"r0 AS (SELECT *, 1::BIGINT AS node FROM ({source}))"]
+    parts = [f"r0{to} AS (SELECT *, 1::BIGINT AS node FROM ({source}))"]
     for d in range(depth):
-        parts.append(f"""l{d} AS (SELECT node, unnest(range(1, len(x) + 1)) AS f, unnest(x) AS v, y FROM r{d}),
-m{d} AS (SELECT node, f, count(DISTINCT v) AS many FROM l{d} GROUP BY 1, 2),
-p{d} AS (SELECT DISTINCT node, f, t FROM (SELECT node, f, unnest(list_transform(range(0, 15), lambda k: o[(70 + 90 * k) * (n - 1) // 1400 + 1] + (o[least((70 + 90 * k) * (n - 1) // 1400 + 2, n)] - o[(70 + 90 * k) * (n - 1) // 1400 + 1]) * ((70 + 90 * k) * (n - 1) % 1400 / 1400))) AS t FROM (SELECT node, f, list(v ORDER BY v) AS o, count(v) AS n FROM l{d} JOIN m{d} USING (node, f) WHERE many > 20 AND v IS NOT NULL GROUP BY node, f)
-  UNION ALL SELECT node, f, (v + w) / 2 AS t FROM (SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS w FROM (SELECT DISTINCT node, f, v FROM l{d}) JOIN m{d} USING (node, f) WHERE many <= 20) WHERE w IS NOT NULL)),
-s{d} AS (SELECT node, f, t, count(*)::DOUBLE AS n, count(*) FILTER (WHERE v <= t)::DOUBLE AS nl, {', '.join(f"{e.format('')} AS {s}, {e.format('AND v <= t')} AS {s}l" for s, e in sums.items())} FROM l{d} JOIN p{d} USING (node, f) GROUP BY 1, 2, 3),
-g{d} AS (SELECT node, f, t, n, round({loss('', 'n')} - nl / n * {loss('l', 'nl')} - (n - nl) / n * {loss('r', '(n - nl)')}, 9) AS score FROM (SELECT *, {', '.join(f'{s} - {s}l AS {s}r' for s in sums)} FROM s{d}) WHERE nl >= 2 AND n - nl >= 2 AND n >= 5),
-b{d} AS (SELECT node, f, t FROM g{d} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, f, t) = 1),
-r{d + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN f IS NULL THEN node WHEN coalesce(x[f] <= t, false) THEN 2 * node ELSE 2 * node + 1 END AS node FROM r{d} r LEFT JOIN b{d} USING (node))""")
-    out = f"r{depth}"
+        parts.append(f"""l{d}{to} AS (SELECT node, unnest(range(1, len(x) + 1)) AS f, unnest(x) AS v, y FROM r{d}{to} WHERE {train}),
+m{d}{to} AS (SELECT node, f, count(DISTINCT v) AS many FROM l{d}{to} GROUP BY 1, 2),
+p{d}{to} AS (SELECT DISTINCT node, f, t FROM (SELECT node, f, unnest(list_transform(range(0, 15), lambda k: o[(70 + 90 * k) * (n - 1) // 1400 + 1] + (o[least((70 + 90 * k) * (n - 1) // 1400 + 2, n)] - o[(70 + 90 * k) * (n - 1) // 1400 + 1]) * ((70 + 90 * k) * (n - 1) % 1400 / 1400))) AS t FROM (SELECT node, f, list(v ORDER BY v) AS o, count(v) AS n FROM l{d}{to} JOIN m{d}{to} USING (node, f) WHERE many > 20 AND v IS NOT NULL GROUP BY node, f)
+  UNION ALL SELECT node, f, (v + w) / 2 AS t FROM (SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS w FROM (SELECT DISTINCT node, f, v FROM l{d}{to}) JOIN m{d}{to} USING (node, f) WHERE many <= 20) WHERE w IS NOT NULL)),
+s{d}{to} AS (SELECT node, f, t, count(*)::DOUBLE AS n, count(*) FILTER (WHERE v <= t)::DOUBLE AS nl, {', '.join(f"{e.format('')} AS {s}, {e.format('AND v <= t')} AS {s}l" for s, e in sums.items())} FROM l{d}{to} JOIN p{d}{to} USING (node, f) GROUP BY 1, 2, 3),
+g{d}{to} AS (SELECT node, f, t, n, round({loss('', 'n')} - nl / n * {loss('l', 'nl')} - (n - nl) / n * {loss('r', '(n - nl)')}, 9) AS score FROM (SELECT *, {', '.join(f'{s} - {s}l AS {s}r' for s in sums)} FROM s{d}{to}) WHERE nl >= 2 AND n - nl >= 2 AND n >= 5),
+b{d}{to} AS (SELECT node, f, t FROM g{d}{to} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, f, t) = 1),
+r{d + 1}{to} AS (SELECT r.* EXCLUDE (node), CASE WHEN f IS NULL THEN node WHEN coalesce(x[f] <= t, false) THEN 2 * node ELSE 2 * node + 1 END AS node FROM r{d}{to} r LEFT JOIN b{d}{to} USING (node))""")
+    return parts
+
+
+def tree_sql(source: str, keys: str, depth: int, classes: list[str] | None) -> str:
+    """Each row's leaf with its prediction."""
+    parts, out = tree_parts(source, depth, classes), f"r{depth}"
     if classes:
         tops = f"c AS (SELECT node, y, count(*)::DOUBLE AS n FROM {out} GROUP BY 1, 2), v AS (SELECT node, y AS prediction, round(n / sum(n) OVER (PARTITION BY node), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, y) = 1)"
         return f"WITH {', '.join(parts)}, {tops} SELECT {keys}, node AS leaf, prediction, share FROM {out} JOIN v USING (node)"
@@ -188,3 +195,23 @@ def prune_kendall(spark, sf_dir):
     """Of columns that go together, the one closer to the label stays."""
     df = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.floor(F.col("l_quantity") / 10) + F.col("l_linenumber") % 2).alias("b"), F.round(F.col("l_discount") * 100).alias("c"), F.floor(F.col("l_extendedprice") / 2000).alias("y"))
     return P.kendall_kept(df, ["a", "b", "c"], "y").withColumn("tau_label", F.round("tau_label", 6))
+
+
+def _shrunk_sql(depth, folds):
+    """Three trees, each of two folds, and every penalty's error on the third."""
+    source = "SELECT (l_orderkey % 3)::INT AS fold, [l_quantity::DOUBLE, (l_extendedprice / 1000)::DOUBLE, l_discount::DOUBLE] AS x, (l_extendedprice / l_quantity / 1000)::DOUBLE AS y FROM lineitem"
+    parts, out = [f"lams AS (SELECT unnest({list(H.PENALTIES)}::DOUBLE[]) AS lam)"], []
+    for f in range(folds):
+        r = f"r{depth}_{f}"
+        parts += tree_parts(source, depth, None, f"_{f}", f"fold <> {f}")
+        parts.append(f"n_{f} AS (SELECT node >> k AS a, avg(y) AS mu, count(*) AS n FROM {r}, (SELECT unnest(range(0, {depth + 1})) AS k) WHERE fold <> {f} AND node >> k >= 1 GROUP BY 1)")
+        parts.append(f"s_{f} AS (SELECT leaf, lam, sum((c.mu - p.mu) / (1 + lam / p.n)) AS s FROM (SELECT DISTINCT node AS leaf FROM {r}), lams, (SELECT unnest(range(0, {depth})) AS k), n_{f} c, n_{f} p WHERE c.a = leaf >> k AND p.a = leaf >> (k + 1) GROUP BY 1, 2)")
+        out.append(f"SELECT {f} AS fold, l.lam, count(*)::BIGINT AS n, round(avg((y - (SELECT mu FROM n_{f} WHERE a = 1) - coalesce(s, 0)) ** 2), 6) AS loss FROM {r} JOIN lams l ON true LEFT JOIN s_{f} s ON s.leaf = {r}.node AND s.lam = l.lam WHERE fold = {f} GROUP BY l.lam")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(_shrunk_sql(2, 3))
+def hs_losses(spark, sf_dir):
+    """Every penalty of shrunk regression trees, by three folds."""
+    df = _lines(spark, sf_dir).withColumns({"unit": F.col("price") / F.col("quantity"), "fold": (F.col("l_orderkey") % 3).cast("int")})
+    return H.losses(df, "l_orderkey", XS, "unit", "variance", "fold", [0, 1, 2], depth=2).withColumn("loss", F.round("loss", 6))
