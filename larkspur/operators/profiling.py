@@ -73,10 +73,25 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return df.groupBy(F.least(F.lit(bins), F.greatest(F.lit(1), F.width_bucket(column, F.lit(low), F.lit(high), F.lit(bins)))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rebuilt(df: DataFrame, target: str, numerator: str, denominator: str, tolerance: float = 0.005, bound: float = 0.99) -> DataFrame:
-    """The share of rows whose target is the ratio of two features, and whether that gives the target away."""
-    same = F.abs(F.try_divide(F.col(numerator), F.col(denominator)) - F.col(target)) <= tolerance
-    return df.agg((F.count_if(same) / F.count(F.lit(1))).alias("share")).withColumn("leaks", F.col("share") > bound)
+def rebuilt(df: DataFrame, target: str, features: list[str], tolerance: float = 0.005, bound: float = 0.99) -> DataFrame:
+    """numerator, denominator, share, leaks: for each two features, the share of rows whose target is their ratio, and whether that gives the target away. One aggregate."""
+    pairs = [(a, b) for a in features for b in features if a != b]
+    same = lambda a, b: F.abs(F.try_divide(F.col(a), F.col(b)) - F.col(target)) <= tolerance
+    row = df.agg(*[(F.count_if(same(a, b)) / F.greatest(F.count(target), F.lit(1))).alias(f"{a}|{b}") for a, b in pairs])
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("numerator"), F.lit(b).alias("denominator"), F.col(f"`{a}|{b}`").alias("share")) for a, b in pairs]))
+    return row.select(cells.alias("x")).select("x.*").withColumn("leaks", F.col("share") > bound)
+
+
+def refused(columns: list[str], banned: list[str] = (), prefixes: list[str] = ("future_",)) -> list[str]:
+    """Of feature columns, those that may not be used: banned ones, and those whose names say that they look ahead (any case)."""
+    return [c for c in columns if c.lower() in {b.lower() for b in banned} or c.lower().startswith(tuple(p.lower() for p in prefixes))]
+
+
+def guarded(df: DataFrame, features: list[str], banned: list[str] = (), prefixes: list[str] = ("future_",)) -> DataFrame:
+    """df, unless a feature is refused."""
+    if found := refused(features, banned, prefixes):
+        raise ValueError(f"features that may not be used: {', '.join(found)}")
+    return df
 
 
 def binary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -165,10 +165,27 @@ def tree_hellinger(spark, sf_dir):
 @query(PER + ", e AS (SELECT threshold, ls + (rn - rs) AS wrong, tn FROM c) SELECT 'n_chars' AS feature, threshold, round(least(wrong / tn, 1 - wrong / tn), 6) AS error, round(0.5 * ln((1 - least(wrong / tn, 1 - wrong / tn)) / least(wrong / tn, 1 - wrong / tn)), 6) AS alpha FROM e ORDER BY round(least(wrong / tn, 1 - wrong / tn), 9), threshold LIMIT 1")
 def adaboost_round1(spark, sf_dir):
     s = M.adaboost(_labelled(spark, sf_dir), ["n_chars"], "sign", 1)
-    return _labelled(spark, sf_dir).limit(1).select(F.lit(s[0]["feature"]).alias("feature"), F.lit(s[0]["threshold"]).alias("threshold"), F.round(F.lit(s[0]["error"]), 6).alias("error"), F.round(F.lit(s[0]["alpha"]), 6).alias("alpha"))
-
-
-@query()
+    return rounded(spark.createDataFrame([(x["feature"], float(x["threshold"]), float(x["error"]), float(x["alpha"])) for x in s], "feature string, threshold double, error double, alpha double"))
+
+
+def _adaboost_sql(rounds=3, xs=("n_chars", "source_len")):
+    """The stumps of each round: rows weigh exp(-sign * margin), every midpoint of both columns is tried, and the errors of the two ways to label the sides are compared."""
+    parts = ["m0 AS (SELECT doc_id, n_chars::DOUBLE AS n_chars, length(source)::DOUBLE AS source_len, (2 * quality - 1)::DOUBLE AS y, 0.0::DOUBLE AS margin FROM labels JOIN documents USING (doc_id))"]
+    for r in range(rounds):
+        parts.append(f"w{r} AS (SELECT *, exp(-y * margin) AS w FROM m{r})")
+        for k, x in enumerate(xs):
+            parts.append(f"p{r}_{k} AS (SELECT {k} AS place, v, lead(v) OVER (ORDER BY v) AS after, sum(n) OVER (ORDER BY v) AS ln, sum(s) OVER (ORDER BY v) AS ls, sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM (SELECT {x} AS v, sum(w) AS n, sum(w * y) AS s FROM w{r} GROUP BY 1))")
+        every = " UNION ALL ".join(f"SELECT * FROM p{r}_{k}" for k in range(len(xs)))
+        wrong = "((ln + ls) / 2 + ((tn - ln) - (ts - ls)) / 2) / tn"
+        parts.append(f"b{r} AS (SELECT place, (v + after) / 2 AS threshold FROM ({every}) WHERE after IS NOT NULL ORDER BY round(-least({wrong}, 1 - {wrong}), 9) DESC, place, threshold LIMIT 1)")
+        side = "CASE WHEN CASE place " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(xs)) + " END <= threshold THEN -1 ELSE 1 END"
+        parts.append(f"e{r} AS (SELECT sum(w) FILTER (WHERE {side} <> y) / sum(w) AS e FROM w{r}, b{r})")
+        parts.append(f"a{r} AS (SELECT place, threshold, CASE WHEN e > 0.5 THEN -1 ELSE 1 END AS side, 0.5 * ln((1 - least(e, 1 - e)) / least(e, 1 - e)) AS alpha FROM b{r}, e{r})")
+        parts.append(f"m{r + 1} AS (SELECT doc_id, n_chars, source_len, y, margin + alpha * side * {side} AS margin FROM m{r}, a{r})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, round(margin, 6) AS margin, CASE WHEN margin >= 0 THEN 1 ELSE -1 END AS prediction, round(1 / (1 + exp(-margin)), 6) AS p FROM m{rounds}"
+
+
+@query(_adaboost_sql())
 def adaboost_scores(spark, sf_dir):
     df = _labelled(spark, sf_dir)
     stumps = M.adaboost(df, ["n_chars", "source_len"], "sign", 3)
@@ -196,7 +213,15 @@ def ridge_fit(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", F.round(M.linear(w, ["l_quantity"]), 4).alias("prediction"))
 
 
-@query()
+def _logistic_sql(steps=15, rate=0.3, lam=0.01):
+    parts = ["d AS (SELECT doc_id, n_chars::DOUBLE / 1000 AS x, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id))", "s0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for t in range(steps):
+        e = "(1 / (1 + exp(-(a + b * x))) - y)"
+        parts.append(f"s{t + 1} AS (SELECT any_value(a) - {rate} * avg({e}) AS a, any_value(b) - {rate} * (avg({e} * x) + {lam} * any_value(b) / count(*)) AS b FROM d, s{t})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, round(1 / (1 + exp(-(a + b * x))), 6) AS p FROM d, s{steps}"
+
+
+@query(_logistic_sql())
 def logistic_fit(spark, sf_dir):
     df = _labelled(spark, sf_dir)
     w = M.logistic(df, ["n_k"], "y", steps=15)
@@ -261,7 +286,16 @@ def hs_forest(spark, sf_dir):
     return M.forest_predict(df, nodes, ["n_chars", "source_len"]).select("doc_id", F.round("p", 6).alias("p"))
 
 
-@query()
+#: Least squares under the order: at each point the largest, over beginnings before it, of the least mean up to an end behind it; linear between points.
+_ISOTONIC = """WITH d AS (SELECT doc_id, 1 / (1 + exp(-(n_chars::DOUBLE / 1000 - 2))) AS raw, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)),
+u AS (SELECT raw, sum(y) AS s, count(*) AS n FROM d WHERE doc_id % 2 = 0 GROUP BY raw), k AS (SELECT raw, row_number() OVER o AS i, sum(s) OVER o AS s, sum(n) OVER o AS n FROM u WINDOW o AS (ORDER BY raw ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT i, s, n FROM k UNION ALL SELECT 0, 0, 0), m AS (SELECT a.i + 1 AS a, b.i AS b, (b.s - a.s) / (b.n - a.n) AS mean FROM z a JOIN z b ON b.i > a.i),
+l AS (SELECT k.i, m.a, min(mean) AS low FROM k JOIN m ON m.a <= k.i AND m.b >= k.i GROUP BY 1, 2), f AS (SELECT i, max(low) AS fit FROM l GROUP BY i), g AS (SELECT raw AS place, fit FROM k JOIN f USING (i)),
+e AS (SELECT d.doc_id, d.raw, max(place) FILTER (WHERE place <= d.raw) AS lo, min(place) FILTER (WHERE place >= d.raw) AS hi FROM d, g GROUP BY 1, 2)
+SELECT doc_id, round(raw, 6) AS raw, round(greatest(0.005, least(0.995, CASE WHEN lo IS NULL THEN h.fit WHEN hi IS NULL OR hi = lo THEN l.fit ELSE l.fit + (h.fit - l.fit) * (raw - lo) / (hi - lo) END)), 6) AS p FROM e LEFT JOIN g l ON l.place = e.lo LEFT JOIN g h ON h.place = e.hi"""
+
+
+@query(_ISOTONIC)
 def calibrate_isotonic(spark, sf_dir):
     from pyspark.ml.regression import IsotonicRegression
 
@@ -324,6 +358,7 @@ def gsmotenc(spark, sf_dir):
 
 
 BOARD = "SELECT o_orderkey, list_transform(range(0, 9), lambda i: ((o_orderkey // (3 ** i)::BIGINT) % 3 - 1)::INT) AS b FROM orders"
+#: The eight lines of the board: fixed values.
 LINES = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (2, 4, 6))
 
 

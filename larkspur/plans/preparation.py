@@ -220,11 +220,14 @@ def prune_pearson(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("kept"))
 
 
-@query("SELECT count(CASE WHEN abs(l_extendedprice * l_quantity / nullif(l_quantity, 0) - l_extendedprice) <= 0.005 THEN 1 END) / count(*) AS share, count(CASE WHEN abs(l_extendedprice * l_quantity / nullif(l_quantity, 0) - l_extendedprice) <= 0.005 THEN 1 END) / count(*) > 0.99 AS leaks FROM lineitem")
+RATIOS = ["l_extendedprice", "l_quantity", "l_tax", "l_linenumber"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS numerator, '{b}' AS denominator, round(share, 6) AS share, share > 0.99 AS leaks FROM (SELECT count(*) FILTER (WHERE abs({a} / nullif({b}, 0) - l_extendedprice / l_quantity) <= 0.005) / count(*) AS share FROM lineitem)" for a in RATIOS for b in RATIOS if a != b))
 def leakage_guard(spark, sf_dir):
-    """Whether a target can be rebuilt as the ratio of two features."""
-    df = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", (F.col("l_extendedprice") * F.col("l_quantity")).alias("revenue"))
-    return Q.rebuilt(df, "l_extendedprice", "revenue", "l_quantity")
+    """Which two features rebuild a unit's price as their ratio: the right ones do, others only for some rows."""
+    df = table(spark, sf_dir, "lineitem").select(*RATIOS).withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
+    return rounded(Q.rebuilt(Q.guarded(df, RATIOS), "unit", RATIOS))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce(bool_and({c} IN (0, 1)), false) AS is_binary FROM labels" for c in ("doc_id", "quality", "toxic")))

@@ -187,3 +187,12 @@ def test_geometric_points_lie_in_the_ball_around_their_base(spark):
 def test_expected_rows_are_demanded(spark):
     with pytest.raises(R.ContractError):
         R.expect_rows(spark.range(3).where("id > 9"), "no rows")
+
+
+def test_targets_that_features_rebuild_and_names_that_look_ahead(spark):
+    df = spark.createDataFrame([(float(i), float(i % 4 + 1), 9.0 if i else None) for i in range(20)], "a double, b double, c double").withColumn("y", F.col("a") / F.col("b"))
+    got = {(r["numerator"], r["denominator"]): (r["share"], r["leaks"]) for r in Q.rebuilt(df, "y", ["a", "b", "c"]).collect()}
+    assert got["a", "b"] == (1.0, True) and not any(leaks for k, (_, leaks) in got.items() if k != ("a", "b"))
+    assert Q.refused(["a", "Future_goals", "id"], ["ID"]) == ["Future_goals", "id"] and Q.guarded(df, ["a", "b"]) is df
+    with pytest.raises(ValueError, match="future_x"):
+        Q.guarded(df, ["a", "future_x"])
