@@ -231,3 +231,63 @@ def calibrated(fit: DataFrame, df: DataFrame, shares: list[str], label: str, cla
             out, new = df, model.apply()
         return out.withColumns({f"_c{k}": c for k, c in enumerate(floored(new))}).select(*[F.col(f"_c{shares.index(c)}").alias(c) if c in shares else F.col(c) for c in df.columns]), method
     return df.withColumns(dict(zip(shares, floored([F.col(c) for c in shares])))), "uncalibrated"
+
+
+# studies
+
+ARMS = ("none", "weighted", "undersampled", "bootstrapped")
+
+
+def arm_weights(label: Column, share: Column, seed: Column, key: Column) -> dict[str, Column]:
+    """How much a training row counts in each arm. share: the label's share of the rows over the smallest label's, 1 or more.
+
+    weighted: by the inverse of the label's size; undersampled: rows of larger labels stay with the chance 1 / share; bootstrapped: 0 to 6 times, one on average.
+    Draws are hashes of seed and key.
+    """
+    from larkspur.functions import scalars as S
+
+    u = S.unit(7, "boot", seed, key)
+    times = sum((F.when(u >= bound, 1.0).otherwise(0.0) for bound in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)), F.lit(0.0))  # Poisson with mean 1
+    return {"none": F.lit(1.0), "weighted": 1 / share, "undersampled": F.when(S.unit(7, "under", seed, key) < 1 / share, 1.0).otherwise(0.0), "bootstrapped": times}
+
+
+def study(df: DataFrame, key: str, features: list[str], label: str, train: Column, seeds: list[int], penalties: list[float], arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """seed, arm, penalty, accuracy, recall, specificity, gmean on the other rows: linear scores of a 0/1 label (1 from 0.5 on), fitted on each arm's rows.
+
+    Seeds and arms are an axis of one aggregate of weighted moments, and fitted scores one of an aggregate of counts: two scans in all, however many
+    fits (a row for each is broadcast). A ratio over no rows is 0.
+    """
+    if len(seeds) * len(arms) * len(penalties) > 10_000:
+        raise ValueError("over 10,000 fits")
+    rows = df.na.drop(subset=[*features, label]).withColumn("_train", train)
+    y = F.col(label).cast("double")
+    sizes = rows.where("_train").groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("_n").alias("_least"))))
+    seeded = rows.where("_train").join(F.broadcast(sizes), F.col(label) == F.col("_label")).withColumn("_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    weights = arm_weights(F.col(label), F.col("_n") / F.col("_least"), F.col("_seed"), F.col(key))
+    each = seeded.withColumn("_x", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), weights[a].alias("w")) for a in arms]))).where("_x.w > 0")
+    names = [F.lit(1.0), *[F.col(f).cast("double") for f in features], y]
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    fits = []
+    for r in each.groupBy("_seed", "_x.arm").agg(*[F.sum(F.col("_x.w") * names[i] * names[j]) for i, j in pairs]).collect():  # a row for each seed and arm
+        m = np.zeros((len(names), len(names)))
+        for (i, j), v in zip(pairs, r[2:]):
+            m[i, j] = m[j, i] = v
+        for p in penalties:
+            c, w = ridge_from(m, p)
+            fits.append((r[0], r[1], float(p), c, [float(x) for x in w]))
+    table = df.sparkSession.createDataFrame(fits, "seed int, arm string, penalty double, c double, w array<double>")
+    test = rows.where("NOT _train").select(y.alias("y"), F.array(*names[1:-1]).alias("x")).crossJoin(F.broadcast(table))
+    score = F.col("c") + F.aggregate(F.zip_with("w", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    test = test.select("seed", "arm", "penalty", (F.col("y") == 1).alias("y"), (F.round(score, 9) >= 0.5).alias("p"))
+    counts = test.groupBy("seed", "arm", "penalty").agg(F.count_if(F.expr("y AND p")).alias("tp"), F.count_if(F.expr("NOT y AND p")).alias("fp"), F.count_if(F.expr("NOT y AND NOT p")).alias("tn"), F.count_if(F.expr("y AND NOT p")).alias("fn"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    out = counts.select("seed", "arm", "penalty", ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), ratio(tp, tp + fn).alias("recall"), ratio(tn, tn + fp).alias("specificity"))
+    return out.withColumn("gmean", F.sqrt(F.col("recall") * F.col("specificity")))
+
+
+def over_seeds(results: DataFrame) -> DataFrame:
+    """arm, penalty, seeds, and the mean and population deviation over seeds of each measure."""
+    measures = [c for c in results.columns if c not in ("seed", "arm", "penalty")]
+    return results.groupBy("arm", "penalty").agg(F.count(F.lit(1)).alias("seeds"), *[x for m in measures for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])

@@ -11,7 +11,7 @@ from larkspur.operators import shrinkage as H
 from larkspur.operators import trees as T
 from larkspur.operators import validation as V
 from larkspur.plans.learning import vectors
-from larkspur.plans.metrics import TRIPLE, triple
+from larkspur.plans.metrics import TRIPLE, rounded, triple
 from larkspur.plans.preparation import UNIT
 from larkspur.plans.registry import query, table
 
@@ -215,3 +215,30 @@ def hs_losses(spark, sf_dir):
     """Every penalty of shrunk regression trees, by three folds."""
     df = _lines(spark, sf_dir).withColumns({"unit": F.col("price") / F.col("quantity"), "fold": (F.col("l_orderkey") % 3).cast("int")})
     return H.losses(df, "l_orderkey", XS, "unit", "variance", "fold", [0, 1, 2], depth=2).withColumn("loss", F.round("loss", 6))
+
+
+def _study_sql(seeds=10, penalties=(0.0, 50.0)):
+    """Weighted least squares of two features in closed form, for each seed, arm and penalty."""
+    boot, under = UNIT(7, "boot", "seed", "key"), UNIT(7, "under", "seed", "key")
+    times = " + ".join(f"(u >= {b})::INT" for b in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406))
+    measures = ("accuracy", "recall", "specificity", "gmean")
+    return f"""WITH d AS (SELECT event_id AS key, value AS a, (user_id % 10)::DOUBLE AS b, (event_type IN ('purchase', 'signup') AND value > 20)::INT::DOUBLE AS y, event_id % 3 > 0 AS train FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
+k AS (SELECT y, count(*)::DOUBLE AS n FROM d WHERE train GROUP BY 1), h AS (SELECT y, n / (SELECT min(n) FROM k) AS share FROM k),
+e AS (SELECT d.*, share, seed, {boot} AS u, {under} AS v FROM d JOIN h USING (y), (SELECT unnest(range(1, {seeds + 1}))::INT AS seed) WHERE train),
+w AS (SELECT seed, a, b, y, unnest(['none', 'weighted', 'undersampled', 'bootstrapped']) AS arm, unnest([1, 1 / share, (v < 1 / share)::INT, {times}]::DOUBLE[]) AS w FROM e),
+m AS (SELECT seed, arm, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM w GROUP BY 1, 2),
+s AS (SELECT m.seed, m.arm, any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sqrt(sum(w * (a - ma) ** 2) / any_value(n)) AS sa, sqrt(sum(w * (b - mb) ** 2) / any_value(n)) AS sb, sum(w * (a - ma) * (b - mb)) AS ab, sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS "by" FROM w JOIN m USING (seed, arm) GROUP BY 1, 2),
+p AS (SELECT *, n + penalty AS g, ab / (sa * sb) AS h, ay / sa AS x, "by" / sb AS z FROM s, (SELECT unnest({list(penalties)}::DOUBLE[]) AS penalty)),
+f AS (SELECT *, (g * x - h * z) / (g * g - h * h) / sa AS wa, (g * z - h * x) / (g * g - h * h) / sb AS wb FROM p),
+t AS (SELECT seed, arm, penalty, y = 1 AS y, round(my + wa * (a - ma) + wb * (b - mb), 9) >= 0.5 AS q FROM f, (SELECT a, b, y FROM d WHERE NOT train)),
+c AS (SELECT seed, arm, penalty, count(*) FILTER (WHERE y AND q)::DOUBLE AS tp, count(*) FILTER (WHERE NOT y AND q)::DOUBLE AS fp, count(*) FILTER (WHERE NOT y AND NOT q)::DOUBLE AS tn, count(*) FILTER (WHERE y AND NOT q)::DOUBLE AS fn FROM t GROUP BY 1, 2, 3),
+r AS (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity FROM c), o AS (SELECT *, sqrt(recall * specificity) AS gmean FROM r)
+SELECT arm, penalty, count(*) AS seeds, {", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std" for m in measures)} FROM o GROUP BY 1, 2"""
+
+
+@query(_study_sql())
+def resampling_study(spark, sf_dir):
+    """Four arms, ten seeds, two penalties: means and deviations over the seeds."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL AND user_id IS NOT NULL")
+    df = e.select("event_id", F.col("value").alias("a"), (F.col("user_id") % 10).alias("b"), (F.col("event_type").isin("purchase", "signup") & (F.col("value") > 20)).cast("int").alias("y"))
+    return rounded(V.over_seeds(V.study(df, "event_id", ["a", "b"], "y", F.col("event_id") % 3 > 0, list(range(1, 11)), [0.0, 50.0])))
