@@ -131,3 +131,35 @@ def test_classes_are_filled_up_and_a_single_row_is_repeated(spark):
             a, b = r["base"] - 100, r["other"] - 100
             assert 0 < abs(a - b) <= 2 and min(a, b) <= r["vector"][0] <= max(a, b) and abs(r["vector"][1] - 1000 * r["vector"][0]) < 1e-6
     assert N.smote_scaled(spark.createDataFrame([], "i long, y string, v array<double>"), "i", "v", "y").count() == 0
+
+
+def test_a_study_fits_every_seed_and_arm_on_its_own_rows(table):
+    df, x, y, _ = table
+    df = df.withColumn("two", (F.col("y") > 12).cast("int"))
+    two = (y > 12).astype(float)
+    train = np.arange(240) % 3 > 0
+    got = {(r["seed"], r["arm"], r["penalty"]): r for r in V.study(df, "i", ["a", "b"], "two", F.col("i") % 3 > 0, [1, 2], [0.0, 9.0]).collect()}
+    assert len(got) == 2 * 4 * 2
+    share = {c: (two[train] == c).sum() for c in (0, 1)}
+    xs = x[:, :2]
+    for arm in ("none", "weighted"):
+        w = np.array([1.0 if arm == "none" else min(share.values()) / share[c] for c in two[train]])
+        mean = (w[:, None] * xs[train]).sum(0) / w.sum()
+        sd = np.sqrt((w[:, None] * (xs[train] - mean) ** 2).sum(0) / w.sum())
+        z, centre = (xs - mean) / sd, (w * two[train]).sum() / w.sum()
+        for p in (0.0, 9.0):
+            beta = np.linalg.solve((z[train] * w[:, None]).T @ z[train] + p * np.eye(2), (z[train] * w[:, None]).T @ (two[train] - centre))
+            said = (centre + z[~train] @ beta) >= 0.5
+            r, t = got[1, arm, p], two[~train] == 1
+            assert abs(r["accuracy"] - (said == t).mean()) < 1e-9 and abs(r["recall"] - said[t].mean()) < 1e-9 and abs(r["specificity"] - (~said[~t]).mean()) < 1e-9
+            assert got[2, arm, p]["gmean"] == r["gmean"]  # no draws in these arms
+    means = {(r["arm"], r["penalty"]): r for r in V.over_seeds(V.study(df, "i", ["a", "b"], "two", F.col("i") % 3 > 0, [1, 2], [0.0])).collect()}
+    assert means["none", 0.0]["accuracy_std"] == 0 and means["none", 0.0]["seeds"] == 2 and len(means) == 4
+
+
+def test_draws_of_arms_keep_their_shares(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    w = V.arm_weights(F.col("y"), F.when(F.col("y") == 0, 3.0).otherwise(1.0), F.lit(5), F.col("id"))
+    r = df.select("y", *[c.alias(a) for a, c in w.items()]).groupBy("y").agg(*[F.avg(a).alias(a) for a in V.ARMS]).collect()
+    got = {x["y"]: x for x in r}
+    assert got[1]["undersampled"] == 1.0 and abs(got[0]["undersampled"] - 1 / 3) < 0.04 and all(abs(got[c]["bootstrapped"] - 1) < 0.1 for c in (0, 1))
