@@ -54,7 +54,7 @@ SHARE, OF = 4, 9
 #: Shingles for which the order by frequency is kept; all others come before them.
 MOST_COMMON = 1 << 20
 #: Shingles that are counted together before counts leave a task, and the count from which they do.
-COUNTED, LEAST_COUNT = 4_000_000, 2
+COUNTED, LEAST_COUNT = 1_000_000, 2
 #: Entries of one part of a list, about.
 HOT = 20_000
 #: Shingles of the candidates in one block of a query, about.
