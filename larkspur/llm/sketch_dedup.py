@@ -46,8 +46,6 @@ PERCENT = 85
 BITS = 1024
 #: Candidates of a node that are compared in one block.
 BLOCK = 2000
-#: Earlier values of a sketch that are looked for one by one before all are.
-LOOKED_AT = 8
 #: Rounds in which members of a list meet one member of its main component before they meet each other.
 ROUNDS = 1
 
@@ -134,11 +132,20 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return alike & (F.least(F.col(f"left{a}"), F.col(f"left{b}")) >= needed(a, b, percent))
 
 
+def bit_columns() -> list[Column]:
+    """The bits of a sketch as columns, with spare: how many of its values (at most KEPT) the bits do not show."""
+    bits = [F.coalesce(F.col("bits")[k], F.lit(0)).alias(f"bits{k}_") for k in range(BITS // 64)]
+    shown = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits")[k]) for k in range(BITS // 64)])
+    return [*bits, (F.least(F.col("n"), F.lit(KEPT)) - shown).alias("spare")]
+
+
 def bits_allow(a: str, b: str, percent: int) -> Column:
-    """Whether the bits of two sketches leave room for the values that they must share: a bit that only one has is a value that the other lacks."""
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"bits{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"bits{y}")[k]))) for k in range(1, BITS // 64)), F.bit_count(F.col(f"bits{x}")[0].bitwiseAND(F.bitwise_not(F.col(f"bits{y}")[0]))))
-    size = lambda x: F.least(F.col(f"n{x}"), F.lit(KEPT))
-    return F.least(size(a) - lacks(a, b), size(b) - lacks(b, a)) >= needed(a, b, percent)
+    """Whether the bits of two sketches leave room for the values that they must share: a bit that only one has is a value that the other lacks.
+
+    Values that the bits of both show, and those that they do not show, can be shared: size - (shown - both) = spare + both.
+    """
+    both = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"bits{k}_{a}").bitwiseAND(F.col(f"bits{k}_{b}"))) for k in range(BITS // 64)])
+    return F.least(F.col(f"spare{a}"), F.col(f"spare{b}")) + both >= needed(a, b, percent)
 
 
 def front_of(rows: DataFrame, several: bool = False) -> DataFrame:
@@ -263,14 +270,14 @@ def mixed_lists(lists: DataFrame, of: DataFrame) -> DataFrame:
 
 def rest_of(rows: DataFrame, tried: DataFrame, sketch_rows: DataFrame, percent: int) -> DataFrame:
     """Of mixed lists, the pairs of different components that were not compared and that the bits of their sketches allow: query, node."""
-    known = sketch_rows.select("node", "bits", "sketch").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    known = sketch_rows.select("node", "sketch", *bit_columns()).join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     rows = rows.join(known, "node").withColumn("before", F.slice("sketch", F.lit(1), F.size("sketch") - F.col("left"))).drop("sketch")
     rows = saved(rows)
-    apart = rows.where("component != main").select("value", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "least", "left", "component", "bits", "before")])
-    # two sketches have one order, so a pair leaves one list only; most others are told by one of the first values, which is cheaper than all
-    soon = [F.coalesce(F.array_contains("before2", F.get("before", F.lit(k))), F.lit(False)) for k in range(LOOKED_AT)]
-    first = ~reduce(lambda a, b: a | b, soon) & ~F.arrays_overlap("before", "before2")
-    rest = apart.join(rows.drop("main"), "value").where((F.col("component") != F.col("component2")) & may_link("", "2", percent) & bits_allow("", "2", percent) & first)
+    bits = [f"bits{k}_" for k in range(BITS // 64)]
+    apart = rows.where("component != main").select("value", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "left", "component", "spare", *bits, "before")])
+    # Two sketches have one order, so a pair leaves one list only. The condition must stay short: Java does not compile a method of over
+    # 8,000 bytes, and interprets it for every pair (see the test).
+    rest = apart.join(rows.drop("main"), "value").where((F.col("component") != F.col("component2")) & may_link("", "2", percent) & bits_allow("", "2", percent) & ~F.arrays_overlap("before", "before2"))
     rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = saved(rest)
     # of two nodes the one with more pairs is the query, so that few sketches are sent often
