@@ -80,9 +80,7 @@ def name_normalise(spark, sf_dir):
 
 @query("""SELECT a.p_partkey, b.p_partkey AS other, levenshtein(a.p_name, b.p_name)::INT AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def levenshtein_pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select("a.p_partkey", F.col("b.p_partkey").alias("other"), F.levenshtein("a.p_name", "b.p_name").alias("distance"))
+    return R.tiled_pairs(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", "p_name", F.levenshtein, "other", "distance")
 
 
 #: A source spelling of a nation's name: capitals, the last letter gone from names of over six letters.
