@@ -1,11 +1,15 @@
 """Queries that pair rows: whole results on odd rows and one large group, spread over tasks."""
 
+import math
 import os
+import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from larkspur.operators import models as M
 
 ORACLES, QUERIES = entry.oracle_sql(), entry.queries()
 
@@ -36,3 +40,27 @@ def test_levenshtein_pairs_of_one_large_group_are_whole_and_spread(spark, tmp_pa
 def test_levenshtein_pairs_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert QUERIES["levenshtein_pairs"](spark, os.fspath(tmp_path)).count() == 0
+
+
+def shown(v):
+    return "nan" if isinstance(v, float) and math.isnan(v) else repr(v)
+
+
+@pytest.mark.parametrize("name", ["kernel_linear"])
+def test_kernels_of_odd_rows_follow_the_sql_and_one_file_is_spread(spark, tmp_path, monkeypatch, name):
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(64)], 1) for k in range(40)] + [(k * 100, [rng.gauss(0, 2) for _ in range(64)], 2) for k in range(1, 6)]
+    short, holes = [1.0, -2.5, 0.25], [None if k % 3 else 0.5 * k for k in range(64)]
+    rows += [(600, short, 1), (700, holes, 1), (800, None, 1), (900, [], 1), (51, short, 1), (52, holes, 1), (53, None, 1), (54, [], 1), (55, [None] * 64, 1), (None, [0.5] * 64, 1), (56, [2.0] * 70, 1)]
+    if name != "kernel_centered":  # their means are no numbers
+        rows += [(57, [math.nan] + [1.0] * 63, 1), (58, [math.inf] * 64, 1)]
+    folder = os.fspath(tmp_path)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    for n, v in {"MOST_QUERIES": 3, "TILE": (2, 5), "TASK_PAIRS": 20}.items():
+        monkeypatch.setattr(M, n, v, raising=False)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    df = QUERIES[name](spark, folder)
+    got = sorted(tuple(map(shown, (r["i"], r["j"], r["k"]))) for r in df.collect())
+    assert got == sorted(tuple(map(shown, r)) for r in c.execute(f"SELECT i, j, k FROM ({ORACLES[name]})").fetchall())
+    assert df.groupBy(F.spark_partition_id()).count().count() > 4
