@@ -46,7 +46,7 @@ def shown(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else repr(v)
 
 
-@pytest.mark.parametrize("name", ["kernel_linear", "kernel_rbf", "kernel_poly"])
+@pytest.mark.parametrize("name", ["kernel_linear", "kernel_rbf", "kernel_poly", "kernel_centered"])
 def test_kernels_of_odd_rows_follow_the_sql_and_one_file_is_spread(spark, tmp_path, monkeypatch, name):
     rng = random.Random(4)
     rows = [(k, [rng.gauss(0, 1) for _ in range(64)], 1) for k in range(40)] + [(k * 100, [rng.gauss(0, 2) for _ in range(64)], 2) for k in range(1, 6)]
