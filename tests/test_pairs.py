@@ -5,6 +5,8 @@ import os
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,72 @@ def test_kernels_of_odd_rows_follow_the_sql_and_one_file_is_spread(spark, tmp_pa
     got = sorted(tuple(map(shown, (r["i"], r["j"], r["k"]))) for r in df.collect())
     assert got == sorted(tuple(map(shown, r)) for r in c.execute(f"SELECT i, j, k FROM ({ORACLES[name]})").fetchall())
     assert df.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def nearest(keys, x, ids, q, k):
+    """Plainly, from all distances."""
+    out = []
+    for i, z in zip(ids, q):
+        d = M.rounded_values(np.array([sum((a - b) * (a - b) for a, b in zip(row, z)) for row in x.tolist()]), 9)
+        out += [(int(i), int(keys[j]), float(d[j])) for j in [j for j in np.lexsort((keys, d)) if keys[j] != i][:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e5])
+def test_nearest_rows_are_those_of_all_distances(scale):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(150, 7)), rng.integers(-1, 2, size=(150, 7)).astype(float), np.zeros((60, 7)), np.full((40, 7), 1e-6)]) * scale
+    keys = rng.permutation(len(x)) * 3
+    keys[10:20] = keys[9]  # a key of many rows
+    ask = np.r_[np.arange(0, len(x), 4), 9, 10, 11]
+    near = M.Nearest(keys[ask], x[ask], None, 5, None, 16, 50)
+    for b in range(0, len(x), 130):
+        near.add(keys[b : b + 130], x[b : b + 130], None, pa.table({"label": keys[b : b + 130] % 7}))
+    got = near.table(["label"]).to_pylist()
+    assert all(r["label"] == r["key"] % 7 for r in got)
+    want = []
+    for i, z in zip(*(a[np.unique(np.r_[np.arange(0, len(x), 4), 9, 10, 11], return_index=True)[0]] for a in (keys, x))):
+        want += nearest(keys, x, [i], [z], 5)
+    assert sorted((r["query"], r["key"], r["d"]) for r in got) == sorted(want)
+
+
+def test_neighbours_of_odd_rows_follow_the_sql(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(64)], k % 3) for k in range(45)] + [(k, [0.5] * 64, k % 4) for k in range(60, 80)]
+    rows += [(101, None, 1), (102, [0.5] * 10, 1), (103, [None if k % 2 else 0.5 for k in range(64)], 2), (110, [0.25, -0.5], 2)]
+    folder = os.fspath(tmp_path)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    monkeypatch.setattr(M, "MOST_QUERIES", 4)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    for name in ("knn_classify", "knn_regress"):
+        assert sorted(map(tuple, QUERIES[name](spark, folder).select("query", "prediction").collect())) == sorted(c.execute(f"SELECT query, prediction FROM ({ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("mode", ["borderline"])
+def test_mates_are_sought_for_drawn_bases_only_and_rows_are_those_of_plain_rules(spark, monkeypatch, mode):
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(120, 4)), np.arange(120) % 3
+    df = spark.createDataFrame([(int(i), [float(a) for a in v], int(b)) for i, (v, b) in enumerate(zip(x, label))], "id long, v array<double>, label int")
+    asked, plain = [], M.top_k
+
+    def counted(base, queries, *more, **named):
+        asked.append(queries.count())
+        return plain(base, queries, *more, **named)
+
+    monkeypatch.setattr(M, "top_k", counted)
+    got = M.adaptive_smote(df, "id", "v", "label", 0, 6, mode).collect()
+    assert asked[0] == 40 and asked[1] <= 6
+    own = np.flatnonzero(label == 0)
+    near = nearest(np.arange(120), x, own, x[own], 5)
+    share = {i: np.mean([label[j] != 0 for q, j, _ in near if q == i]) for i in own}
+    weight = np.array([share[i] if mode == "adasyn" else float(0.5 <= share[i] < 1) for i in own])
+    upto = np.cumsum(weight)
+    bases = {n: int(own[np.flatnonzero(np.floor(upto / upto[-1] * 6) >= n)[0]]) for n in range(1, 7)}
+    assert {r["new_id"]: r["base"] for r in got} == bases
+    mates = nearest(own, x[own], own, x[own], 5)
+    for r in got:
+        assert (r["base"], r["other"]) in {(i, j) for i, j, _ in mates}
+        step = np.array(r["vector"]) - x[r["base"]]
+        way = x[r["other"]] - x[r["base"]]
+        assert np.allclose(step, way * (step @ way) / (way @ way)) and 0 <= (step @ way) / (way @ way) < 1
