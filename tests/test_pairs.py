@@ -108,7 +108,7 @@ def test_neighbours_of_odd_rows_follow_the_sql(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, QUERIES[name](spark, folder).select("query", "prediction").collect())) == sorted(c.execute(f"SELECT query, prediction FROM ({ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("mode", ["borderline"])
+@pytest.mark.parametrize("mode", ["borderline", "adasyn"])
 def test_mates_are_sought_for_drawn_bases_only_and_rows_are_those_of_plain_rules(spark, monkeypatch, mode):
     rng = np.random.default_rng(8)
     x, label = rng.normal(size=(120, 4)), np.arange(120) % 3
